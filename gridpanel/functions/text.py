@@ -26,6 +26,12 @@ LABEL_METRICS = (
 EARLY_SYNONYMS = {"Байбак": "Бабак"}
 
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
+_EDGE_SPACE_AND_STARS = r"(?U)^\s+|\s*\**\s*$"
+
+
+def _one_of(words: Sequence[str]) -> str:
+    """Regular expression matching any of the literal words."""
+    return "|".join(f"\\Q{word}\\E" for word in words)
 
 
 def strip_text(c: Column) -> Column:
@@ -34,11 +40,8 @@ def strip_text(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:
-    lowered = F.lower(c)
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(lowered, F.lit(word))
-    return found
+    """Does the text hold one of the (lower-case) words, whatever its case? One pass over the text."""
+    return F.lower(c).rlike(_one_of(words))
 
 
 def is_aggregate(c: Column, extended: bool = False) -> Column:
@@ -49,19 +52,20 @@ def is_aggregate(c: Column, extended: bool = False) -> Column:
 
 def is_contaminant(c: Column, denylist: Sequence[str] = ()) -> Column:
     """Phone numbers (a run of ten or more digits) or a denylisted name in an entity field."""
-    return c.rlike(r"\p{Nd}{10,}") | contains_any(c, [word.lower() for word in denylist])
+    phone = c.rlike(r"\p{Nd}{10,}")
+    return phone | contains_any(c, [word.lower() for word in denylist]) if denylist else phone
 
 
 def _tidy_species(c: Column) -> Column:
-    squeezed = F.regexp_replace(strip_text(c), " {2,}", " ")
-    unstarred = strip_text(F.regexp_replace(squeezed, r"\*+$", ""))
-    return F.translate(F.replace(unstarred, F.lit("- "), F.lit("-")), '"', "'")
+    bare = F.regexp_replace(F.regexp_replace(c, _EDGE_SPACE_AND_STARS, ""), " {2,}", " ")
+    return F.translate(F.replace(bare, F.lit("- "), F.lit("-")), '"', "'")
 
 
 def norm_species_v1(c: Column) -> Column:
     """Species name of the middle era; NULL for totals and the remainder group."""
     name = _tidy_species(c)
-    return F.when((name != OTHER_SPECIES) & ~contains_any(name, TOTAL_WORDS), name)
+    void = name.rlike(f"^{OTHER_SPECIES}$|(?iu:{_one_of(TOTAL_WORDS)})")
+    return F.when(~void, name)
 
 
 def norm_species_v2(c: Column, synonyms: dict[str, str] | None = None) -> Column:
@@ -69,21 +73,16 @@ def norm_species_v2(c: Column, synonyms: dict[str, str] | None = None) -> Column
 
     Only the first letter is upper-cased (``initcap`` would touch every word). A
     total prefix or an "including" phrase voids the name; a total suffix is cut.
+    Conditions are folded into one pattern, so the tidied text is built few times.
     """
     tidy = _tidy_species(c)
+    other = f"[{OTHER_SPECIES[0]}{OTHER_SPECIES[0].lower()}]{OTHER_SPECIES[1:]}"
+    void = tidy.rlike(f"^$|^{other}$|(?iu:^(?:{_one_of(TOTAL_WORDS)})|{_one_of(INCLUDING_WORDS)})")
     name = F.concat(F.upper(F.substring(tidy, 1, 1)), F.substr(tidy, F.lit(2)))
     for raw, canonical in (EARLY_SYNONYMS if synonyms is None else synonyms).items():
-        name = F.when(name == raw, canonical).otherwise(name)
-    lowered = F.lower(tidy)
-    starts = F.lit(False)
-    for word in TOTAL_WORDS:
-        starts = starts | F.startswith(lowered, F.lit(word))
-    ends = F.lit(False)
-    for suffix in TOTAL_SUFFIXES:
-        ends = ends | F.endswith(lowered, F.lit(suffix))
-    cut = strip_text(F.regexp_replace(name, "-[^-]*$", ""))
-    void = (tidy == "") | (name == OTHER_SPECIES) | starts | contains_any(tidy, INCLUDING_WORDS)
-    return F.when(~void, F.when(ends, cut).otherwise(name))
+        name = F.regexp_replace(name, f"^\\Q{raw}\\E$", canonical)
+    cut = F.regexp_replace(name, f"(?iuU)\\s*(?:{_one_of(TOTAL_SUFFIXES)})$", "")
+    return F.when(~void, cut)
 
 
 def species_from_label(c: Column) -> Column:

@@ -24,6 +24,12 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+def pin(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a small table once, so that several joins reuse it; a large one stays lazy."""
+    small = bounded(df, max_rows)
+    return df if small is None else small
+
+
 def join_dim(
     fact: DataFrame,
     dim: DataFrame,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.text import norm_species_v2
-from gridpanel.operators.joins import join_dim
+from gridpanel.operators.joins import join_dim, pin
 
 SHEET = ["file_id", "sheet"]
 
@@ -90,7 +90,8 @@ def header_names(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Columns of a header row with their normalised species; unnamed ones are dropped."""
-    header = join_dim(cells.filter("v IS NOT NULL"), hdr, SHEET, spread=["c"]).filter("r = hdr_r")
+    # pinned before the names are cleaned: the cleaning must not be pushed down to all cells
+    header = pin(join_dim(cells.filter("v IS NOT NULL"), hdr, SHEET, spread=["c"]).filter("r = hdr_r"))
     named = header.select(*SHEET, "c", *keep, normalize(F.col("v")).alias("species"))
     return named.filter("species IS NOT NULL")
 

@@ -16,6 +16,7 @@ from gridpanel import schemas
 from gridpanel.functions.text import is_aggregate, is_contaminant, norm_species_v1
 from gridpanel.operators import layout, reshape, scan
 from gridpanel.operators.filters import rescale_units
+from gridpanel.operators.joins import pin
 from gridpanel.operators.layout import SHEET
 from gridpanel.plans import layouts as L
 from gridpanel.sources.facts import empty_typed
@@ -49,11 +50,11 @@ def _fact(df: DataFrame, metric: str) -> DataFrame:
 
 def ingest_early(cells: DataFrame) -> Tables:
     """Hosts across the columns, species blocks down the rows (state machine)."""
-    hdr = layout.header_row(cells, L.NAME_WORD, col=1, required=True)
-    end = layout.header_row(
+    hdr = pin(layout.header_row(cells, L.NAME_WORD, col=1, required=True))
+    end = pin(layout.header_row(
         cells, L.SECTION_FOUR_WORDS, col=0, max_rows=L.EARLY_SCAN_ROWS, name="end_r", required=True
-    )
-    hosts = reshape.column_hosts(cells, hdr, _is_entity(False), L.EARLY_FIRST_HOST_COL)
+    ))
+    hosts = pin(reshape.column_hosts(cells, hdr, _is_entity(False), L.EARLY_FIRST_HOST_COL))
     body = cells.filter(F.col("c") >= L.EARLY_FIRST_HOST_COL)
     block = layout.row_slice(cells, hdr, end, L.EARLY_SPECIES_OFFSET)
     rows = scan.grid_rows(
@@ -82,10 +83,10 @@ def _entity_tables(cells: DataFrame, hosts: DataFrame, entity: dict, finance: di
 def ingest_middle(cells: DataFrame) -> Tables:
     """Hosts down the rows, fixed column ranges, counts on a sheet of their own."""
     main = _named(cells, L.MIDDLE_MAIN_SHEET)
-    hdr = layout.header_row(main, L.USER_WORD, col=0, required=True)
+    hdr = pin(layout.header_row(main, L.USER_WORD, col=0, required=True))
     hosts = reshape.row_hosts(main, _after(hdr), _is_entity(False))
     counted = layout.pick_sheet(cells, layout.sheet_by_priority(sheets_of(cells), L.MIDDLE_COUNT_SHEETS))
-    count_hdr = layout.header_row(counted, L.USER_WORD, col=0, max_rows=10, required=True)
+    count_hdr = pin(layout.header_row(counted, L.USER_WORD, col=0, max_rows=10, required=True))
     names = layout.header_names(counted, count_hdr, norm_species_v1).filter("c >= 2")
     count_hosts = reshape.row_hosts(counted, _after(count_hdr), _is_entity(False))
     ranged = layout.layout_by_col_range(main, L.MIDDLE_COL_RANGES)
@@ -119,17 +120,17 @@ def _species_tables(
 def _events(cells: DataFrame, denylist: Sequence[str]) -> DataFrame:
     chosen = layout.sheet_by_keyword(sheets_of(cells), L.RELOCATION_SHEET_WORD)
     log = layout.pick_sheet(cells, chosen)
-    hdr = layout.header_row(log, L.USER_WORD, max_rows=10, required=True)
+    hdr = pin(layout.header_row(log, L.USER_WORD, max_rows=10, required=True))
     return scan.relocation_events(log, hdr, denylist)
 
 
 def ingest_hybrid(cells: DataFrame, denylist: Sequence[str] = ()) -> Tables:
     """Transitional year: everything on the main sheet, sections found by keyword."""
     main = _named(cells, L.MIDDLE_MAIN_SHEET)
-    hdr = layout.header_row(main, L.USER_WORD, col=0, required=True)
+    hdr = pin(layout.header_row(main, L.USER_WORD, col=0, required=True))
     hosts = reshape.row_hosts(main, _after(hdr), _is_entity(True, denylist))
-    section_hdr = layout.fixed_row(main, L.HYBRID_SECTION_ROW)
-    species_hdr = layout.fixed_row(main, L.HYBRID_SPECIES_ROW)
+    section_hdr = pin(layout.fixed_row(main, L.HYBRID_SECTION_ROW))
+    species_hdr = pin(layout.fixed_row(main, L.HYBRID_SPECIES_ROW))
     return {
         **_entity_tables(main, hosts, L.MIDDLE_ENTITY_COLS, L.HYBRID_FINANCE_COLS),
         **_species_tables(main, section_hdr, species_hdr, hosts),
@@ -140,7 +141,7 @@ def ingest_hybrid(cells: DataFrame, denylist: Sequence[str] = ()) -> Tables:
 def _late_main(cells: DataFrame, denylist: Sequence[str]) -> Tables:
     names = [F.replace(F.lit(n), F.lit("{year}"), F.col("period").cast("string")) for n in L.LATE_MAIN_SHEETS]
     main = layout.pick_sheet(cells, layout.sheet_by_priority(sheets_of(cells), names))
-    hdr = layout.header_row(main, L.USER_WORD, col=0, required=True)
+    hdr = pin(layout.header_row(main, L.USER_WORD, col=0, required=True))
     hosts = reshape.row_hosts(main, layout.first_data_row(main, hdr), _is_entity(True, denylist))
     return _entity_tables(main, hosts, L.LATE_ENTITY_COLS, L.LATE_FINANCE_COLS)
 
@@ -149,8 +150,8 @@ def ingest_late(cells: DataFrame, denylist: Sequence[str] = ()) -> Tables:
     """Sections by keyword on the count sheet, species one row above the user header."""
     chosen = layout.sheet_by_keyword(sheets_of(cells), L.COUNT_SHEET_WORD)
     counted = layout.pick_sheet(cells, chosen)
-    section_hdr = layout.header_row(counted, L.COUNT_SECTIONS["ungulates"], max_rows=10, required=True)
-    user_hdr = layout.header_row(counted, L.USER_WORD, max_rows=10, required=True)
+    section_hdr = pin(layout.header_row(counted, L.COUNT_SECTIONS["ungulates"], max_rows=10, required=True))
+    user_hdr = pin(layout.header_row(counted, L.USER_WORD, max_rows=10, required=True))
     species_hdr = user_hdr.withColumn("hdr_r", F.col("hdr_r") - 1)
     hosts = reshape.row_hosts(counted, _after(user_hdr), _is_entity(True, denylist))
     return {
