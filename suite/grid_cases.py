@@ -356,7 +356,7 @@ def _event_cells(spark, d) -> DataFrame:
     head = log.select("file_id", "period", "sheet", "sheet_ord").distinct().select(
         "*", F.lit(1).cast("bigint").alias("r"), F.lit(0).alias("c"), F.lit(L.USER_WORD).alias("v")
     )
-    return log.unionByName(head)
+    return materialize(log.unionByName(head), "cells")
 
 
 EVENTS_SQL = f"""SELECT year, trim(host) AS host, concat(upper(substr(species, 1, 1)), substr(species, 2)) AS species,
@@ -402,7 +402,7 @@ UNION ALL SELECT 'relocation', year, host, species, 'event', count FROM ({EVENTS
     ["cells", "event_rows"],
 )
 def _era_hybrid(spark, d):
-    cells = materialize(V.cells(spark, d).unionByName(_event_cells(spark, d)), "cells")
+    cells = V.cells(spark, d).unionByName(_event_cells(spark, d))
     return _tagged(ingest.ingest_hybrid(cells))
 
 
