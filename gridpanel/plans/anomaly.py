@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridpanel.operators.ranking import exact_quantiles, lowest
 from gridpanel.session import materialize
@@ -109,7 +110,7 @@ def isolation_scores(
     scale = float(_expected_depth(min(sample, rows)))
     shipped = df.sparkSession.sparkContext.broadcast(packed)
     names = df.columns
-    schema = df.schema.add("score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -20,6 +20,14 @@ def series_of(df: DataFrame) -> DataFrame:
     return df.filter(F.col("value").isNotNull()).groupBy("entity", "period").agg(F.avg("value").alias("value"))
 
 
+def _by_entity(df: DataFrame):
+    """Series grouped for fitting. Fitting is heavy per byte, so the partition count is
+    stated: merged by size, small series would all end up in a few tasks."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, "entity").groupBy("entity")
+
+
 # --- closed form: autoregressive order 0 or 1 on levels or differences -------------
 
 
@@ -70,54 +78,80 @@ def _differences_needed(y: np.ndarray, max_d: int) -> int:
     return max_d
 
 
-def _residuals(z: np.ndarray, params: np.ndarray, p: int, q: int) -> np.ndarray:
-    """One-step errors for several parameter sets (rows) at once; unseen past is the mean."""
-    ar, ma, mu = params[:, :p], params[:, p : p + q], params[:, -1:]
-    w = z[None, :] - mu
-    e = w.copy()
-    for i in range(p):
-        e[:, i + 1 :] -= ar[:, i : i + 1] * w[:, : -i - 1]
-    if q:
-        for t in range(1, len(z)):
-            k = min(q, t)
-            e[:, t] -= (ma[:, :k] * e[:, t - 1 :: -1][:, :k]).sum(axis=1)
-    return e
-
-
-def _admissible(params: np.ndarray, p: int, q: int) -> bool:
-    inside = lambda c: len(c) == 0 or np.abs(np.roots(np.r_[1.0, c])).max(initial=0.0) < 0.99
-    return bool(np.isfinite(params).all()) and inside(-params[:p]) and inside(params[p : p + q])
+def _lag(x: np.ndarray, k: int) -> np.ndarray:
+    """Series shifted by k steps, the unseen past being 0."""
+    return np.r_[np.zeros(min(k, len(x))), x[: max(len(x) - k, 0)]]
+
+
+def _unwind(ma: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Solve e[t] + ma[0] e[t-1] + ... = column[t] for each column."""
+    n, q = len(columns), len(ma)
+    if q == 0:
+        return columns
+    if n <= 96:
+        system = np.eye(n)
+        for j in range(q):
+            system[np.arange(j + 1, n), np.arange(n - j - 1)] = ma[j]
+        return np.linalg.solve(system, columns)
+    out = columns.copy()
+    for t in range(1, n):
+        k = min(q, t)
+        out[t] -= ma[:k] @ out[t - k : t][::-1]
+    return out
+
+
+def _errors(z: np.ndarray, theta: np.ndarray, p: int, q: int) -> np.ndarray:
+    """One-step errors; the unseen past is at the mean."""
+    w = z - theta[-1]
+    driven = w - sum(theta[i] * _lag(w, i + 1) for i in range(p))
+    return _unwind(theta[p : p + q], driven[:, None])[:, 0]
+
+
+def _slopes(z: np.ndarray, theta: np.ndarray, e: np.ndarray, p: int, q: int, with_mean: bool) -> np.ndarray:
+    """Derivatives of the errors by the parameters, one column each."""
+    w = z - theta[-1]
+    columns = [-_lag(w, i + 1) for i in range(p)] + [-_lag(e, j + 1) for j in range(q)]
+    if with_mean:
+        ones = np.ones(len(z))
+        columns.append(sum(theta[i] * _lag(ones, i + 1) for i in range(p)) - ones)
+    return _unwind(theta[p : p + q], np.column_stack(columns))
+
+
+def _stable(c: np.ndarray) -> bool:
+    """Do all roots of x^k - c[0] x^(k-1) - ... lie inside the unit circle (with a margin)?"""
+    if not np.isfinite(c).all():
+        return False
+    if len(c) == 0:
+        return True
+    if len(c) == 1:
+        return bool(abs(c[0]) < 0.99)
+    return bool(np.abs(np.roots(np.r_[1.0, -c])).max(initial=0.0) < 0.99)
 
 
 def _fit(z: np.ndarray, p: int, q: int, with_mean: bool) -> tuple[np.ndarray, float]:
     """Least squares on the one-step errors by damped Gauss-Newton steps."""
     theta = np.r_[np.zeros(p + q), z.mean() if with_mean else 0.0]
-    free = list(range(p + q)) + ([p + q] if with_mean else [])
-    steps = np.full(len(theta), 1e-5)
-    steps[-1] = 1e-5 * max(1.0, abs(theta[-1]))
-    e = _residuals(z, theta[None], p, q)[0]
-    sse, damp = e @ e, 1e-2
-    for _ in range(25 if p + q else 0):
-        batch = np.repeat(theta[None], len(free), axis=0)
-        batch[np.arange(len(free)), free] += steps[free]
-        jac = (_residuals(z, batch, p, q) - e) / steps[free][:, None]
-        gram = jac @ jac.T
-        gram[np.diag_indices_from(gram)] *= 1 + damp
-        move = np.linalg.lstsq(gram, -jac @ e, rcond=None)[0]
-        trial = theta.copy()
-        trial[free] += move
-        if _admissible(trial, p, q):
-            e_new = _residuals(z, trial[None], p, q)[0]
-            if e_new @ e_new < sse:
-                gain = (sse - e_new @ e_new) / max(sse, 1e-300)
-                theta, e, sse, damp = trial, e_new, e_new @ e_new, damp / 4
-                if gain < 1e-7:
+    free = np.arange(p + q + int(with_mean))
+    e = _errors(z, theta, p, q)
+    sse, damp = float(e @ e), 1e-2
+    for _ in range(20 if p + q else 0):
+        jac = _slopes(z, theta, e, p, q, with_mean)
+        gram, pull = jac.T @ jac, jac.T @ e
+        size = gram.diagonal() + 1e-12
+        improved = False
+        while damp < 1e4:
+            trial = theta.copy()
+            trial[free] -= np.linalg.solve(gram + np.diag(damp * size), pull)
+            if _stable(trial[:p]) and _stable(-trial[p : p + q]):
+                e_new = _errors(z, trial, p, q)
+                if (new := float(e_new @ e_new)) < sse:
+                    gain, improved = (sse - new) / sse, True
+                    theta, e, sse, damp = trial, e_new, new, max(damp / 5, 1e-6)
                     break
-                continue
-        damp *= 8
-        if damp > 1e6:
+            damp *= 6
+        if not improved or gain < 1e-6:
             break
-    return theta, float(sse)
+    return theta, sse
 
 
 def best_order(y: np.ndarray, max_p: int = 3, max_q: int = 3, max_d: int = 2):
@@ -141,7 +175,7 @@ def predict(y: np.ndarray, order: tuple[int, int, int], theta: np.ndarray, steps
     """Continue a series for a number of steps."""
     p, d, q = order
     z = np.diff(y, d)
-    e = list(_residuals(z, theta[None], p, q)[0])
+    e = list(_errors(z, theta, p, q))
     w = list(z - theta[-1])
     for _ in range(steps):
         past = [theta[i] * w[-1 - i] for i in range(min(p, len(w)))]
@@ -169,7 +203,7 @@ def order_search(series: DataFrame, max_p: int = 3, max_q: int = 3, max_d: int =
         return pd.DataFrame([(pdf["entity"].iat[0], p, d, q, aic)], columns=["entity", "p", "d", "q", "aic"])
 
     kind = series.schema["entity"].dataType.simpleString()
-    return series_of(series).groupBy("entity").applyInPandas(search, f"entity {kind}, p int, d int, q int, aic double")
+    return _by_entity(series_of(series)).applyInPandas(search, f"entity {kind}, p int, d int, q int, aic double")
 
 
 def backtest(
@@ -199,7 +233,7 @@ def backtest(
 
     kind = series.schema["entity"].dataType.simpleString()
     used = series_of(series.filter(F.col("period") <= test_end))
-    fitted = used.groupBy("entity").applyInPandas(run, f"entity {kind}, order string, mae double, status string")
+    fitted = _by_entity(used).applyInPandas(run, f"entity {kind}, order string, mae double, status string")
     kept = entities.select("entity").join(fitted, "entity", "left")
     return kept.select(
         "entity", "order", F.bround("mae", 1).alias("mae"), F.coalesce("status", F.lit(TOO_SHORT)).alias("status")
@@ -234,7 +268,7 @@ def forecast(
         )
 
     kind = series.schema["entity"].dataType.simpleString()
-    rows = series_of(series).groupBy("entity").applyInPandas(
+    rows = _by_entity(series_of(series)).applyInPandas(
         run, f"entity {kind}, period int, forecast double, order string"
     )
     return rows.withColumn("forecast", F.bround("forecast", 1))

@@ -7,19 +7,20 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fit(train) -> score(test) -> test with a "prediction" column
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 5
 
 
 def in_parallel(tasks: Sequence[Callable[[], object]], workers: int = PARALLEL_FITS) -> list:
     """Submit independent Spark jobs side by side, as MLlib's own tuning does."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(workers, max(len(tasks), 1))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+        return pool.map(lambda task: task(), [inherit(task) for task in tasks])
 
 
 def train_classes(df: DataFrame, folds: Sequence[int], label: str, expanding: bool) -> dict[int, set]:

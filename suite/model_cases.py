@@ -1 +1,230 @@
+"""Forecasts, anomaly scores, classifiers, regressions and clusters."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridpanel.plans import anomaly, classify, cluster, folds, forecast as fc, panel as P, regress
+from gridpanel.session import materialize
+from suite import views as V
+from suite.panel_cases import HOST_COLS, anomaly_features, entity_features, harvest_features, lag_features
+from suite.registry import case
+
+# --- forecasting -------------------------------------------------------------------
+
+AR_SQL = """SELECT entity, p, d, q, aic FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY aic, d, p) AS rn FROM (
+ SELECT entity, n, unnest([0, 1, 0, 1]) AS p, unnest([0, 0, 1, 1]) AS d, 0 AS q,
+  unnest([n * ln(greatest(e00, 1e-12) / n) + 4, n * ln(greatest(e10, 1e-12) / n) + 6, n * ln(greatest(e01, 1e-12) / n) + 4, n * ln(greatest(e11, 1e-12) / n) + 6]) AS aic
+ FROM (SELECT entity, count(*) AS n, regr_syy(y0, x0) AS e00, regr_syy(y1, x1) AS e01,
+   regr_syy(y0, x0) - coalesce(regr_sxy(y0, x0) ^ 2 / nullif(regr_sxx(y0, x0), 0), 0) AS e10,
+   regr_syy(y1, x1) - coalesce(regr_sxy(y1, x1) ^ 2 / nullif(regr_sxx(y1, x1), 0), 0) AS e11
+  FROM (SELECT entity, value AS y0, lag(value) OVER w AS x0, value - lag(value) OVER w AS y1, lag(value) OVER w - lag(value, 2) OVER w AS x1, lag(value, 2) OVER w AS l2
+   FROM series WINDOW w AS (PARTITION BY entity ORDER BY period)) a WHERE l2 IS NOT NULL GROUP BY entity HAVING count(*) >= 3) b) c) r WHERE rn = 1"""
+
+
+@case("order_search_ar", AR_SQL, ["series"], ["aic"])
+def _order_search_ar(spark, d):
+    return fc.order_search_ar(V.series(spark, d))
+
+
+@case("forecast_order_search")
+def _order_search(spark, d):
+    return fc.order_search(V.series(spark, d))
+
+
+@case("forecast_backtest")
+def _backtest(spark, d):
+    series = V.series(spark, d)
+    return fc.backtest(series, series.select("entity").distinct(), 24, 25, 27)
+
+
+@case("forecast_future")
+def _forecast(spark, d):
+    return fc.forecast(V.series(spark, d))
+
+
+@case("forecast_totals")
+def _forecast_totals(spark, d):
+    return P.forecast_totals(fc.forecast(V.series(spark, d), first_period=31))
+
+
+# --- anomalies ---------------------------------------------------------------------
+
+SCORE_COLS = ("value", "change_pct", "deviation")
+
+
+@case("isolation_scores")
+def _isolation_scores(spark, d):
+    return anomaly.isolation_scores(anomaly_features(spark, d), SCORE_COLS)
+
+
+@case("contamination_sweep")
+def _contamination_sweep(spark, d):
+    scored = materialize(anomaly.isolation_scores(anomaly_features(spark, d), SCORE_COLS), "scores")
+    return anomaly.contamination_sweep(scored)
+
+
+SWEEP_SQL = """WITH s AS (SELECT round(deviation, 9) AS score FROM anomaly_f),
+c AS (SELECT unnest([0.02, 0.05, 0.1]) AS contamination, unnest([quantile_cont(score, 0.02), quantile_cont(score, 0.05), quantile_cont(score, 0.1)]) AS cut FROM s)
+SELECT CAST(c.contamination AS DOUBLE) AS contamination, c.cut, count(*) FILTER (s.score < c.cut) AS n_anomalies,
+ 100.0 * count(*) FILTER (s.score < c.cut AND s.score < (SELECT min(cut) FROM c)) / count(*) FILTER (s.score < (SELECT min(cut) FROM c)) AS strict_overlap_pct
+FROM c, s GROUP BY 1, 2"""
+
+
+@case("contamination_sweep_given", SWEEP_SQL, ["anomaly_f"], ["cut", "strict_overlap_pct"])
+def _contamination_sweep_given(spark, d):
+    given = anomaly_features(spark, d).select(F.round("deviation", 9).alias("score"))
+    return anomaly.contamination_sweep(materialize(given, "scores"))
+
+
+# --- classification ----------------------------------------------------------------
+
+
+def _classified(spark, d):
+    return classify.prepared(harvest_features(spark, d))
+
+
+@case("shuffled_folds")
+def _shuffled_folds(spark, d):
+    return folds.shuffled_folds(_classified(spark, d), "label", ["host", "year"]).select("host", "year", "label", "fold")
+
+
+@case(
+    "shuffled_fold_sizes",
+    """SELECT label, CAST(i % 5 AS INT) AS fold, count(*) AS n FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY host, year) - 1 AS i FROM harvest_f) t
+       GROUP BY 1, 2""",
+    ["harvest_f"],
+)
+def _shuffled_fold_sizes(spark, d):
+    return _shuffled_folds(spark, d).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("logit_balanced")
+def _logit_balanced(spark, d):
+    return classify.temporal_predictions(_classified(spark, d), classify.logit_balanced())
+
+
+@case("forest_balanced")
+def _forest_balanced(spark, d):
+    return classify.temporal_predictions(_classified(spark, d), classify.forest_balanced())
+
+
+@case("temporal_cv")
+def _temporal_cv(spark, d):
+    return classify.temporal_cv(_classified(spark, d), classify.logit_balanced())
+
+
+@case("leak_inflation")
+def _leak_inflation(spark, d):
+    fits = {"logit": classify.logit_balanced(), "forest": classify.forest_balanced()}
+    return classify.leak_inflation(_classified(spark, d), fits)
+
+
+@case("importance")
+def _importance(spark, d):
+    return classify.importance(_classified(spark, d))
+
+
+# --- regression --------------------------------------------------------------------
+
+
+def _regressed(spark, d):
+    return regress.prepared(lag_features(spark, d))
+
+
+@case("forecast_linear")
+def _forecast_linear(spark, d):
+    return regress.forecast_linear(_regressed(spark, d))
+
+
+@case("forecast_linear_mae")
+def _forecast_linear_mae(spark, d):
+    return regress.cv_mae(regress.forecast_linear(_regressed(spark, d)), "population_t1")
+
+
+@case("delta_model_linear")
+def _delta_linear(spark, d):
+    return regress.delta_model(_regressed(spark, d), "linear")
+
+
+@case("delta_model_boosted")
+def _delta_boosted(spark, d):
+    return regress.delta_model(_regressed(spark, d), "boosted")
+
+
+@case("delta_model_scaled_boosted")
+def _delta_scaled(spark, d):
+    return regress.delta_model(_regressed(spark, d), "scaled_boosted")
+
+
+@case("attribution_coalition")
+def _attribution_coalition(spark, d):
+    rows = _regressed(spark, d)
+    predict, _ = regress.train_model("scaled_boosted", rows, P.SPENDING, "delta")
+    return regress.attribution_coalition(rows, predict, P.SPENDING)
+
+
+IMPACT = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg(abs(phi)) AS impact, avg(phi) AS direction FROM (SELECT {b} * ({c} - avg({c}) OVER ()) AS phi FROM lag_f) t"
+    for c, b in (("total_expenses", 0.5), ("expense_feeding", -0.25))
+)
+
+
+@case("impact_summary", IMPACT, ["lag_f"], ["impact", "direction"])
+def _impact_summary(spark, d):
+    coefficients = {"total_expenses": 0.5, "expense_feeding": -0.25}
+    rows = materialize(lag_features(spark, d), "features")
+    return regress.impact_summary(regress.attribution_linear(rows, coefficients), list(coefficients))
+
+
+# --- clustering --------------------------------------------------------------------
+
+
+def _hosts(spark, d):
+    return materialize(entity_features(spark, d), "hosts")
+
+
+GIVEN = "CASE WHEN n_years < 7 OR mean_small > 27 THEN 0 WHEN expenses > 51000 THEN 1 ELSE 2 END"
+STD = ", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS {c}" for c in HOST_COLS)
+FAR = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) ^ 2" for c in HOST_COLS) + ")"
+SILHOUETTE = f"""WITH z AS (SELECT host, {GIVEN} AS g, {STD} FROM host_f),
+m AS (SELECT a.host, a.g AS own, b.g AS other, sum({FAR}) AS s, count(*) AS n FROM z a, z b GROUP BY 1, 2, 3),
+p AS (SELECT host, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS a, max(CASE WHEN own = other THEN n END) AS n, min(CASE WHEN own <> other THEN s / n END) AS b
+ FROM m GROUP BY host)
+SELECT 'g' AS labels, avg(CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS silhouette, count(*) AS n FROM p"""
+
+
+def _given(spark, d):
+    hosts = _hosts(spark, d)
+    g = F.when((F.col("n_years") < 7) | (F.col("mean_small") > 27), 0).when(F.col("expenses") > 51000, 1).otherwise(2)
+    return hosts.withColumn("g", g)
+
+
+@case("silhouette", SILHOUETTE, ["host_f"], ["silhouette"])
+def _silhouette(spark, d):
+    data = cluster.vectors(_given(spark, d), HOST_COLS)
+    return cluster.silhouette(data, "host", HOST_COLS, ["g"], block=32)
+
+
+@case("kmeans_sweep")
+def _kmeans_sweep(spark, d):
+    return cluster.kmeans_sweep(_hosts(spark, d), HOST_COLS)
+
+
+@case("assign_clusters")
+def _assign_clusters(spark, d):
+    return cluster.assign_clusters(_hosts(spark, d), HOST_COLS, 3)
+
+
+PROFILE = f"""SELECT cluster, count(*) AS n, avg(mean_small) AS mean_mean_small, avg(expenses) AS mean_expenses,
+ array_to_string(list_sort(list(host))[1:5], ', ') AS members FROM (SELECT *, {GIVEN} AS cluster FROM host_f) t GROUP BY cluster"""
+
+
+@case("cluster_profile", PROFILE, ["host_f"], ["mean_mean_small", "mean_expenses"])
+def _cluster_profile(spark, d):
+    return cluster.cluster_profile(_given(spark, d).withColumnRenamed("g", "cluster"), ["mean_small", "expenses"])
+
+
+@case("pca2")
+def _pca2(spark, d):
+    return cluster.pca2(_hosts(spark, d), HOST_COLS)
