@@ -6,26 +6,31 @@ number of years, whatever the number of raw facts behind it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_YEAR = Window.partitionBy("host").orderBy("year")
-WHOLE = Window.partitionBy("host")
+
+def by_year() -> WindowSpec:
+    return Window.partitionBy("host").orderBy("year")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("host")
 
 
 def previous_row(c: Column | str) -> Column:
     """Value of the entity's previous reported row, however long ago."""
-    return F.lag(c, 1).over(BY_YEAR)
+    return F.lag(c, 1).over(by_year())
 
 
 def previous_year(c: Column | str) -> Column:
     """Value of the calendar year before; NULL if that year was not reported."""
-    return F.when(F.lag("year", 1).over(BY_YEAR) == F.col("year") - 1, F.lag(c, 1).over(BY_YEAR))
+    return F.when(F.lag("year", 1).over(by_year()) == F.col("year") - 1, F.lag(c, 1).over(by_year()))
 
 
 def rolling_mean3(c: Column | str) -> Column:
     """Mean of the current and two preceding rows, skipping nulls."""
-    return F.avg(c).over(BY_YEAR.rowsBetween(-2, 0))
+    return F.avg(c).over(by_year().rowsBetween(-2, 0))
 
 
 def change_pct(c: Column) -> Column:
@@ -36,11 +41,11 @@ def change_pct(c: Column) -> Column:
 
 def zscore(c: Column) -> Column:
     """Distance from the entity's mean in sample standard deviations, 0 if it never varies."""
-    spread = F.stddev_samp(c).over(WHOLE)
-    return F.when(spread > 0, F.try_divide(c - F.avg(c).over(WHOLE), spread)).otherwise(0.0)
+    spread = F.stddev_samp(c).over(whole())
+    return F.when(spread > 0, F.try_divide(c - F.avg(c).over(whole()), spread)).otherwise(0.0)
 
 
 def next_consecutive(df: DataFrame, value: str, name: str) -> DataFrame:
     """Pair each row with the following year's value; rows before a gap are dropped."""
-    ahead = df.withColumn(name, F.lead(value).over(BY_YEAR)).withColumn("_year", F.lead("year").over(BY_YEAR))
+    ahead = df.withColumn(name, F.lead(value).over(by_year())).withColumn("_year", F.lead("year").over(by_year()))
     return ahead.filter(F.col("_year") - F.col("year") == 1).drop("_year")

@@ -197,13 +197,12 @@ def order_search(series: DataFrame, max_p: int = 3, max_q: int = 3, max_d: int =
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("period")["value"].to_numpy(float)
-        if len(y) < min_points:
-            return pdf.iloc[:0].reindex(columns=["entity", "p", "d", "q", "aic"])
-        (p, d, q), _, aic = best_order(y, max_p, max_q, max_d)
+        (p, d, q), _, aic = best_order(y, max_p, max_q, max_d) if len(y) >= min_points else ((-1, -1, -1), None, 0.0)
         return pd.DataFrame([(pdf["entity"].iat[0], p, d, q, aic)], columns=["entity", "p", "d", "q", "aic"])
 
     kind = series.schema["entity"].dataType.simpleString()
-    return _by_entity(series_of(series)).applyInPandas(search, f"entity {kind}, p int, d int, q int, aic double")
+    found = _by_entity(series_of(series)).applyInPandas(search, f"entity {kind}, p int, d int, q int, aic double")
+    return found.filter("p >= 0")  # -1: too short
 
 
 def backtest(
@@ -252,23 +251,20 @@ def forecast(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period")
         y = pdf["value"].to_numpy(float)
-        names = ["entity", "period", "forecast", "order"]
+        entity = pdf["entity"].iat[0]
         if len(y) < min_points:
-            return pdf.iloc[:0].reindex(columns=names)
+            return pd.DataFrame({"entity": [entity], "period": [0], "forecast": [0.0], "order": [None]})
         best, theta, _ = best_order(y)
         start = int(pdf["period"].iat[-1]) + 1 if first_period is None else first_period
-        return pd.DataFrame(
-            {
-                "entity": pdf["entity"].iat[0],
-                "period": np.arange(start, start + horizon, dtype="int32"),
-                "forecast": predict(y, best, theta, horizon),
-                "order": _text(best),
-            },
-            columns=names,
-        )
+        return pd.DataFrame({
+            "entity": [entity] * horizon,
+            "period": np.arange(start, start + horizon),
+            "forecast": predict(y, best, theta, horizon),
+            "order": [_text(best)] * horizon,
+        })
 
     kind = series.schema["entity"].dataType.simpleString()
     rows = _by_entity(series_of(series)).applyInPandas(
         run, f"entity {kind}, period int, forecast double, order string"
     )
-    return rows.withColumn("forecast", F.bround("forecast", 1))
+    return rows.filter(F.col("order").isNotNull()).withColumn("forecast", F.bround("forecast", 1))

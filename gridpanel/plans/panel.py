@@ -13,12 +13,12 @@ from gridpanel.operators.filters import drop_incomplete, fill_missing, filter_pa
 from gridpanel.operators.joins import drop_entities, keep_entities, same_period
 from gridpanel.operators.sets import intersect_entities
 from gridpanel.operators.windows import (
-    BY_YEAR,
-    WHOLE,
+    by_year,
     change_pct,
     next_consecutive,
     previous_row,
     rolling_mean3,
+    whole,
     zscore,
 )
 
@@ -122,7 +122,7 @@ def anomaly_features(panel: DataFrame, species: str, min_points: int = 10, metri
         "host", "year", "value",
         change_pct(value).alias("change_pct"),
         zscore(value).alias("deviation"),
-        F.count(F.lit(1)).over(WHOLE).alias("_n"),
+        F.count(F.lit(1)).over(whole()).alias("_n"),
     )
     complete = drop_incomplete(shaped.filter(F.col("_n") >= min_points), ["value", "change_pct", "deviation"])
     return complete.drop("_n")
@@ -154,7 +154,7 @@ def harvest_features(
 
 def lagged_trend(labelled: DataFrame, expanding: bool = False) -> DataFrame:
     """Trend and previous reported rate of each host; rows without a previous rate are dropped."""
-    span = BY_YEAR.rowsBetween(Window.unboundedPreceding, 0) if expanding else WHOLE
+    span = by_year().rowsBetween(Window.unboundedPreceding, 0) if expanding else whole()
     year = F.col("year").cast("double")
     points = F.count("population").over(span)
     trend = F.when(points >= 3, F.regr_slope(F.col("population"), year).over(span)).otherwise(0.0)
