@@ -80,7 +80,9 @@ def _differences_needed(y: np.ndarray, max_d: int) -> int:
 
 def _lag(x: np.ndarray, k: int) -> np.ndarray:
     """Series shifted by k steps, the unseen past being 0."""
-    return np.r_[np.zeros(min(k, len(x))), x[: max(len(x) - k, 0)]]
+    out = np.zeros(len(x))
+    out[k:] = x[: max(len(x) - k, 0)]
+    return out
 
 
 def _unwind(ma: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -117,15 +119,16 @@ def _slopes(z: np.ndarray, theta: np.ndarray, e: np.ndarray, p: int, q: int, wit
     return _unwind(theta[p : p + q], np.column_stack(columns))
 
 
-def _stable(c: np.ndarray) -> bool:
-    """Do all roots of x^k - c[0] x^(k-1) - ... lie inside the unit circle (with a margin)?"""
-    if not np.isfinite(c).all():
-        return False
-    if len(c) == 0:
-        return True
-    if len(c) == 1:
-        return bool(abs(c[0]) < 0.99)
-    return bool(np.abs(np.roots(np.r_[1.0, -c])).max(initial=0.0) < 0.99)
+def _stable(c: list[float]) -> bool:
+    """Is the recursion x[t] = c[0] x[t-1] + ... stationary? Its partial autocorrelations
+    must all lie inside (-1, 1); a small margin keeps clear of the unit root."""
+    c = list(c)
+    while c:
+        last = c.pop()
+        if not abs(last) < 0.985:
+            return False
+        c = [(c[i] + last * c[-1 - i]) / (1 - last * last) for i in range(len(c))]
+    return True
 
 
 def _fit(z: np.ndarray, p: int, q: int, with_mean: bool) -> tuple[np.ndarray, float]:
@@ -134,7 +137,7 @@ def _fit(z: np.ndarray, p: int, q: int, with_mean: bool) -> tuple[np.ndarray, fl
     free = np.arange(p + q + int(with_mean))
     e = _errors(z, theta, p, q)
     sse, damp = float(e @ e), 1e-2
-    for _ in range(20 if p + q else 0):
+    for _ in range(15 if p + q else 0):
         jac = _slopes(z, theta, e, p, q, with_mean)
         gram, pull = jac.T @ jac, jac.T @ e
         size = gram.diagonal() + 1e-12
@@ -142,33 +145,51 @@ def _fit(z: np.ndarray, p: int, q: int, with_mean: bool) -> tuple[np.ndarray, fl
         while damp < 1e4:
             trial = theta.copy()
             trial[free] -= np.linalg.solve(gram + np.diag(damp * size), pull)
-            if _stable(trial[:p]) and _stable(-trial[p : p + q]):
+            if _stable(trial[:p].tolist()) and _stable((-trial[p : p + q]).tolist()):
                 e_new = _errors(z, trial, p, q)
                 if (new := float(e_new @ e_new)) < sse:
                     gain, improved = (sse - new) / sse, True
                     theta, e, sse, damp = trial, e_new, new, max(damp / 5, 1e-6)
                     break
             damp *= 6
-        if not improved or gain < 1e-6:
+        if not improved or gain < 1e-5:
             break
     return theta, sse
 
 
-def best_order(y: np.ndarray, max_p: int = 3, max_q: int = 3, max_d: int = 2):
-    """((p, d, q), parameters, AIC) of the best order of one series."""
+def best_order(y: np.ndarray, max_p: int = 3, max_q: int = 3, max_d: int = 2, stepwise: bool = True):
+    """((p, d, q), parameters, AIC) of the best order of one series.
+
+    ``stepwise`` starts from the smallest orders and moves to a neighbouring order
+    as long as that lowers the AIC; otherwise the whole grid is fitted.
+    """
     d = _differences_needed(y, max_d)
     z = np.diff(y, d)
     with_mean = d < 2
-    best = None
-    for p in range(min(max_p, len(z) - 2) + 1):
-        for q in range(min(max_q, len(z) - 2 - p) + 1):
+    tried: dict[tuple[int, int], tuple[float, np.ndarray]] = {}
+
+    def score(p: int, q: int) -> float:
+        if not (0 <= p <= max_p and 0 <= q <= max_q and p + q <= max(len(z) - 2, 0)):
+            return np.inf
+        if (p, q) not in tried:
             theta, sse = _fit(z, p, q, with_mean)
-            aic = len(z) * np.log(max(sse, 1e-12) / len(z)) + 2 * (p + q + int(with_mean) + 1)
-            if best is None or aic < best[2] - 1e-9:
-                best = ((p, d, q), theta, float(aic))
-            if sse < 1e-12:
-                return best
-    return best
+            tried[p, q] = (len(z) * np.log(max(sse, 1e-12) / len(z)) + 2 * (p + q + int(with_mean) + 1), theta)
+        return tried[p, q][0]
+
+    rank = lambda pq: (round(score(*pq), 9), sum(pq), pq)
+    start = [(0, 0), (1, 0), (0, 1)] if stepwise else [(p, q) for p in range(max_p + 1) for q in range(max_q + 1)]
+    if score(0, 0) <= len(z) * np.log(1e-12 / len(z)) + 10:  # fits exactly: nothing to search
+        start, stepwise = [(0, 0)], False
+    best = min(start, key=rank)
+    while stepwise:
+        p, q = best
+        around = [(p + i, q + j) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, 1))]
+        step = min([best, *around], key=rank)
+        if step == best:
+            break
+        best = step
+    aic, theta = tried[best]
+    return (best[0], d, best[1]), theta, float(aic)
 
 
 def predict(y: np.ndarray, order: tuple[int, int, int], theta: np.ndarray, steps: int) -> np.ndarray:
@@ -192,12 +213,14 @@ def _text(order: tuple[int, int, int]) -> str:
     return "({}, {}, {})".format(*order)
 
 
-def order_search(series: DataFrame, max_p: int = 3, max_q: int = 3, max_d: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
-    """Best (p, d, q) per entity over the whole grid."""
+def order_search(
+    series: DataFrame, max_p: int = 3, max_q: int = 3, max_d: int = 2, min_points: int = MIN_POINTS, stepwise: bool = True
+) -> DataFrame:
+    """Best (p, d, q) per entity by AIC."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("period")["value"].to_numpy(float)
-        (p, d, q), _, aic = best_order(y, max_p, max_q, max_d) if len(y) >= min_points else ((-1, -1, -1), None, 0.0)
+        (p, d, q), _, aic = best_order(y, max_p, max_q, max_d, stepwise) if len(y) >= min_points else ((-1, -1, -1), None, 0.0)
         return pd.DataFrame([(pdf["entity"].iat[0], p, d, q, aic)], columns=["entity", "p", "d", "q", "aic"])
 
     kind = series.schema["entity"].dataType.simpleString()

@@ -88,6 +88,20 @@ def test_moving_average_recursion(n):
     assert np.allclose(fc._unwind(ma, column[:, None])[:, 0], want)
 
 
+@pytest.mark.parametrize("c", [[0.5], [1.2, -0.5], [0.9, 0.2], [0.3, 0.2, 0.3], [0.5, 0.1, 0.6], [1.5, -0.9, 0.2]])
+def test_stationarity_check(c):
+    assert fc._stable(c) == bool(np.abs(np.roots(np.r_[1.0, -np.array(c)])).max() < 0.99)
+
+
+def test_stepwise_order_is_near_the_best_of_the_grid():
+    rng = np.random.default_rng(8)
+    for _ in range(10):
+        y = rng.normal(size=60)
+        y[1:] += 0.6 * y[:-1]
+        near, whole = fc.best_order(y), fc.best_order(y, stepwise=False)
+        assert near[0][1] == whole[0][1] and whole[2] <= near[2] + 1e-6 and near[2] - whole[2] < 8
+
+
 def test_straight_lines_are_continued():
     y = np.arange(12.0) * 3 + 1
     order, theta, _ = fc.best_order(y)
