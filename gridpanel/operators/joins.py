@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only below both bounds; beyond them the join is salted.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
@@ -16,10 +18,16 @@ SALTS = 32
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     """``df`` as a local relation if it is small, else None.
 
-    At most ``max_rows + 1`` rows are fetched, so the check itself is bounded.
+    ``head`` reads partitions until it has ``max_rows + 1`` rows, so neither the
+    driver nor any task sees more than that, however large ``df`` is.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > BROADCAST_BYTES:
+    rows = df.head(max_rows + 1)
+    if len(rows) > max_rows:
+        return None
+    columns = zip(*rows) if rows else ([] for _ in df.columns)
+    schema = to_arrow_schema(df.schema)
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+    if table.nbytes > BROADCAST_BYTES:
         return None
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 

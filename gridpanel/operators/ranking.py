@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpanel.operators.joins import join_dim
 from gridpanel.session import shared_folder
 
 _AT = (1 << 33) - 1  # low bits of monotonically_increasing_id: position inside the partition
@@ -38,9 +39,10 @@ def global_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     starts = sizes.select(
         *by, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start")
     )
-    if not by:
-        starts = F.broadcast(starts)  # one row per partition
-    located = placed.join(starts, [*by, "_part"])
+    if by:
+        located = join_dim(placed, starts, [*by, "_part"], spread=["_at"])
+    else:
+        located = placed.join(F.broadcast(starts), "_part")  # one row per partition
     return located.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 

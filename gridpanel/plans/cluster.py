@@ -102,13 +102,14 @@ def kmeans_sweep(
     seed: int = SEED, key: str = "host", exact: bool = True,
 ) -> DataFrame:
     """(k, inertia, silhouette) for each k, best of several restarts."""
-    data = vectors(df, cols)
+    data = vectors(df, cols).persist()  # shared by all fits; rebuilt from the written table if lost
     costs, labelled = [], data
     for k in ks:
         model = best_of(data, k, restarts, seed)
         costs.append((k, float(model.summary.trainingCost)))
         labelled = model.setPredictionCol(f"k{k}").transform(labelled)
     spark = df.sparkSession
+    data.unpersist()
     inertia = spark.createDataFrame(costs, "k int, inertia double")
     names = [f"k{k}" for k in ks]
     if exact:
@@ -129,9 +130,10 @@ def assign_clusters(
     df: DataFrame, cols: Sequence[str], k: int, restarts: int = RESTARTS, seed: int = SEED, key: str = "host"
 ) -> DataFrame:
     """The entities with their original features and cluster label."""
-    data = vectors(df, cols)
-    labels = best_of(data, k, restarts, seed).transform(data).select(key, "cluster")
-    return df.join(labels, key)
+    data = vectors(df, cols).persist()
+    model = best_of(data, k, restarts, seed)
+    data.unpersist()
+    return df.join(model.transform(data).select(key, "cluster"), key)
 
 
 def cluster_profile(clustered: DataFrame, cols: Sequence[str], key: str = "host", members: int = 5) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpanel.operators.joins import join_dim
 from gridpanel.operators.ranking import global_index
+from gridpanel.session import materialize
 
 
 def time_order_index(df: DataFrame, order: Sequence[str] = ("year", "host")) -> DataFrame:
@@ -32,12 +34,13 @@ def temporal_folds(df: DataFrame, order: Sequence[str] = ("year", "host"), n: in
         placed = time_order_index(df, order)
         return placed.withColumn("fold", _fold_of(F.col("idx"), placed.count(), n))
     period = order[0]
+    df = materialize(df, "rows")  # counted, summed up and joined: computed once
     sizes = df.groupBy(period).agg(F.count(F.lit(1)).alias("_n"))
     # one row per period
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(period)) - F.col("_n")
     starts = sizes.select(period, before.alias("_start"))
     folds = starts.select(period, _fold_of(F.col("_start"), df.count(), n).alias("fold"))
-    return df.join(folds, period)
+    return join_dim(df, folds, [period], spread=list(order[1:]))
 
 
 def shuffled_folds(df: DataFrame, label: str, key: Sequence[str], n: int = 5, seed: int = 42) -> DataFrame:

@@ -44,7 +44,7 @@ def recovery(
     years = [*base, *points]
     first, second = points
     rows = filter_panel(panel, metric, species, with_value=True).filter(F.col("year").isin(years))
-    yearly = dedupe(keep_entities(rows, entities))
+    yearly = keep_entities(dedupe(rows), entities)  # facts are combined before the join
     at = lambda *ys: F.sum(F.when(F.col("year").isin(list(ys)), F.col("value")))
     hosts = yearly.groupBy("host").agg(
         F.count(F.lit(1)).alias("_years"), at(*base).alias("_b"), at(first).alias("_p"), at(second).alias("_q")

@@ -203,7 +203,7 @@ def _given(spark, d):
 @case("silhouette", SILHOUETTE, ["host_f"], ["silhouette"])
 def _silhouette(spark, d):
     data = cluster.vectors(_given(spark, d), HOST_COLS)
-    return cluster.silhouette(data, "host", HOST_COLS, ["g"], block=32)
+    return cluster.silhouette(data, "host", HOST_COLS, ["g"], block=256)
 
 
 @case("kmeans_sweep")
