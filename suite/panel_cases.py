@@ -25,8 +25,13 @@ def small(spark, d, metric: str = "count"):
     return filter_panel(V.panel(spark, d), metric, SPECIES)
 
 
+def stored_species(spark, d):
+    """The panel of one species, written once: analyses that use it twice scan the facts once."""
+    return materialize(V.panel(spark, d).filter(F.col("species") == SPECIES), "panel")
+
+
 def harvest_features(spark, d, expanding: bool = False):
-    panel = V.panel(spark, d)
+    panel = stored_species(spark, d)
     return P.harvest_features(panel, panel, SPECIES, 2001, 1.15, expanding)
 
 
@@ -89,18 +94,20 @@ STABLE = """SELECT host FROM panel WHERE metric = 'count' AND species = 'SMALL'
  GROUP BY host HAVING count(DISTINCT year) >= 7"""
 
 
-def stable(spark, d):
-    return P.stable_entities(V.panel(spark, d), SPECIES, 1995, 2001, 7)
+def stable(panel):
+    return P.stable_entities(panel, SPECIES, 1995, 2001, 7)
 
 
 @case("semi_stable", f"SELECT * FROM panel WHERE host IN ({STABLE})", ["panel"], ["value"])
 def _semi_stable(spark, d):
-    return joins.keep_entities(V.panel(spark, d), stable(spark, d))
+    panel = materialize(V.panel(spark, d), "panel")
+    return joins.keep_entities(panel, stable(panel))
 
 
 @case("anti_exclude", f"SELECT * FROM panel WHERE host NOT IN ({STABLE})", ["panel"], ["value"])
 def _anti_exclude(spark, d):
-    return joins.drop_entities(V.panel(spark, d), stable(spark, d))
+    panel = materialize(V.panel(spark, d), "panel")
+    return joins.drop_entities(panel, stable(panel))
 
 
 @case(
@@ -411,7 +418,7 @@ def _overlap_pct(spark, d):
 
 @case("stable_entities", STABLE, ["panel"])
 def _stable_entities(spark, d):
-    return stable(spark, d)
+    return stable(V.panel(spark, d))
 
 
 RECOVERY = f"""SELECT 'SMALL' AS species, n_hosts, round_even(b, 1) AS before, p AS after_1, q AS after_2, round_even(p - b, 1) AS change_1,
@@ -425,8 +432,8 @@ WHERE n_hosts > 0"""
 
 @case("recovery", RECOVERY, ["panel"], ["after_1", "after_2"])
 def _recovery(spark, d):
-    panel = V.panel(spark, d)
-    return P.recovery(panel, stable(spark, d), SPECIES, [1996, 1997, 1998], (1999, 2000))
+    panel = stored_species(spark, d)
+    return P.recovery(panel, stable(panel), SPECIES, [1996, 1997, 1998], (1999, 2000))
 
 
 TREND = """SELECT unnest([2001, 2002, 2003]) AS year, b + (b - a) / 2.0 * unnest([1, 2, 3]) AS forecast
@@ -437,7 +444,7 @@ BOTH = f"AND host IN (SELECT host FROM ({SMALL}) x WHERE year IN (1998, 2000) AN
 
 @case("trend_forecast", TREND.format(rows=SMALL, both=BOTH), ["panel"], ["forecast"])
 def _trend_forecast(spark, d):
-    return P.trend_forecast(V.panel(spark, d), SPECIES, (1998, 2000), [2001, 2002, 2003])
+    return P.trend_forecast(stored_species(spark, d), SPECIES, (1998, 2000), [2001, 2002, 2003])
 
 
 @case("trend_forecast_totals", TREND.format(rows=SMALL, both=""), ["panel"], ["forecast"])
