@@ -36,18 +36,22 @@ def carry_forward(
     part: Sequence[str] = tuple(SHEET),
     order: str = "r",
     block_rows: int = BLOCK_ROWS,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Replace ``value`` by its last non-null value at or before the row.
 
-    ``order`` is a unique row number within ``part``.
+    ``order`` is a unique row number within ``part``. ``ends`` may bring each
+    block's last value (``part, _blk, _last``) when it can be had more cheaply
+    than from ``df``.
     """
     part = list(part)
     blocked = df.withColumn("_blk", F.floor(F.col(order) / block_rows))
     inside = Window.partitionBy(*part, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     # one row per block: at most (largest row number / block_rows) rows per sheet
-    ends = blocked.groupBy(*part, "_blk").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")
-    )
+    if ends is None:
+        ends = blocked.groupBy(*part, "_blk").agg(
+            F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")
+        )
     earlier = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*part, "_blk", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
     local = blocked.withColumn(value, F.last(value, ignorenulls=True).over(inside))
@@ -55,6 +59,15 @@ def carry_forward(
     return joined.withColumn(value, F.coalesce(value, "_before")).drop("_blk", "_before")
 
 
+def column_ends(cells: DataFrame, col: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Last filled cell of one column in each block of rows, straight from the cells."""
+    placed = cells.withColumn("_blk", F.floor(F.col("r") / block_rows))
+    last = placed.filter((F.col("c") == col) & F.col("v").isNotNull()).groupBy(*SHEET, "_blk").agg(
+        F.max_by("v", "r").alias("_last")
+    )
+    return placed.select(*SHEET, "_blk").distinct().join(last, [*SHEET, "_blk"], "left")
+
+
 def grid_rows(
     cells: DataFrame, columns: Mapping[int, str], lookahead: Mapping[int, str] | None = None
 ) -> DataFrame:
@@ -63,11 +76,12 @@ def grid_rows(
     Looking ahead means the next row *number*, so a cell simply also reports to
     the row above it and one aggregation yields both.
     """
-    lookahead = lookahead or {}
+    wanted = cells.filter(F.col("c").isin(list(columns))).select(*SHEET, "period", "c", "v", "r")
+    if not lookahead:
+        own = [F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in columns.items()]
+        return wanted.groupBy(*SHEET, "period", "r").agg(*own)
     shifts = F.when(F.col("c").isin(list(lookahead)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    wanted = cells.filter(F.col("c").isin(list(columns))).select(
-        *SHEET, "period", "c", "v", "r", F.explode(shifts if lookahead else F.array(F.lit(0))).alias("_up")
-    )
+    wanted = wanted.withColumn("_up", F.explode(shifts))
     at = lambda c, up: F.max(F.when((F.col("c") == c) & (F.col("_up") == up), F.col("v")))
     aggs = [at(c, 0).alias(name) for c, name in columns.items()]
     aggs += [at(c, 1).alias(name) for c, name in lookahead.items()]
@@ -125,7 +139,8 @@ def relocation_events(
 ) -> DataFrame:
     """Event log of a relocation sheet: host, species, count, location, origin."""
     names = {0: "host", 1: "species", 2: "count", 3: "location", 4: "origin"}
-    filled = ffill_entity(grid_rows(cells, names), block_rows=block_rows)
+    ends = column_ends(cells, 0, block_rows)
+    filled = carry_forward(grid_rows(cells, names), "host", block_rows=block_rows, ends=ends)
     below = join_dim(filled, hdr, SHEET, spread=["r"]).filter("r > hdr_r")
     host = strip_text(F.col("host"))
     kept = below.na.drop(subset=["host", "species"]).filter(

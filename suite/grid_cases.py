@@ -15,6 +15,7 @@ from gridpanel.sources import cells as cell_source
 from gridpanel.sources import facts as fact_source
 from suite import views as V
 from suite.registry import case
+from suite.tables import table
 
 # --- scans, sources, sinks ---------------------------------------------------------
 
@@ -353,8 +354,11 @@ EVENT_COLS = ["host", "species", "count", "location", "origin"]
 
 def _event_cells(spark, d) -> DataFrame:
     log = _as_cells(V.event_rows(spark, d), EVENT_COLS)
-    head = log.select("file_id", "period", "sheet", "sheet_ord").distinct().select(
-        "*", F.lit(1).cast("bigint").alias("r"), F.lit(0).alias("c"), F.lit(L.USER_WORD).alias("v")
+    years = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("period")).distinct()
+    head = years.select(
+        F.concat(F.lit("F"), F.col("period").cast("string")).alias("file_id"), "period",
+        F.lit("Розселення").alias("sheet"), F.lit(0).alias("sheet_ord"),
+        F.lit(1).cast("bigint").alias("r"), F.lit(0).alias("c"), F.lit(L.USER_WORD).alias("v"),
     )
     return materialize(log.unionByName(head), "cells")
 
