@@ -18,6 +18,7 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
 _BITS = 64
 _PIECE = 1 << 16  # shingles counted at once
+_HOT = 1000  # a fingerprint with more than a thousandth of the rows is looked up by broadcast
 
 
 def simhash(text: bytes, words: int) -> int:
@@ -88,15 +89,24 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int =
     returned. An empty table gives an empty result. Other columns are ignored.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = materialize(components(links(nodes.select("fp"), distance)), "roots")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    # dealt anew: each of these few bytes becomes a whole ball of variants
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = materialize(components(links(nodes.select("fp").repartition(tasks, "fp"), distance)), "roots")
     members = roots.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "first")
     smallest = members.groupBy("root").agg(F.min("first").alias("least"))
     grouped = members.join(smallest, "root").select(F.col("fp").alias("member"), "least")
     classes = nodes.join(grouped, F.col("fp") == F.col("member"), "left").select(
-        F.col("fp").alias("class"), F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")
+        F.col("fp").alias("class"),
+        F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"),
+        (F.col("n") * _HOT > F.lit(prints.count())).alias("hot"),
     )
-    return prints.join(classes, F.col("fp") == F.col("class")).select("doc_id", "fp", "component_id")
+    classes = materialize(classes, "classes")
+    same = F.col("fp") == F.col("class")
+    hot = F.broadcast(classes.where("hot"))  # fewer than _HOT rows
+    many = prints.join(hot, same)
+    few = prints.join(hot, same, "left_anti").join(classes.where("not hot"), same)
+    return many.unionByName(few).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
