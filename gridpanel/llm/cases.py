@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import decontaminate, mixing, quality, sharding, simhash, token_counts, toxicity
+from gridpanel.llm import chat, decontaminate, mixing, quality, sharding, simhash, sketches, token_counts, toxicity
 from gridpanel.llm.common import read
 from gridpanel.llm.labels import fold
 from gridpanel.llm.registry import ORACLES, QUERIES, query
@@ -87,3 +87,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.classify(docs, read(spark, sf_dir, "labels"))
     return found.select("doc_id", _held_out(toxicity.FOLDS, toxicity.HELD_OUT), "score", "predicted")
+
+
+@query("op2_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sketches.edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pairs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.encoded(F.col("sketch")).alias("fingerprint"),
+        sketches.encoded(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+_OP7_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+s AS (
+  SELECT conv_id, turn, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+    count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+p AS (
+  SELECT conv_id, pos, n_turns, turn, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chat FROM s),
+begun AS (SELECT DISTINCT pos, md5(chat) AS h FROM p WHERE pos < n_turns),
+full_ AS (SELECT min(conv_id) AS conv_id, n_turns, chat, count(*) AS copies FROM p WHERE pos = n_turns GROUP BY n_turns, chat)
+SELECT f.conv_id, 0 AS part, (SELECT min(turn) FROM t WHERE t.conv_id = f.conv_id) AS first_turn,
+  f.n_turns, f.copies, f.chat
+FROM full_ f ANTI JOIN begun b ON b.pos = f.n_turns AND b.h = md5(f.chat)
+"""
+
+
+@query("op7_chat", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
