@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import chat, decontaminate, mixing, quality, sharding, simhash, sketches, token_counts, toxicity
+from gridpanel.llm import chat, decontaminate, mixing, quality, sharding, simhash, sketches, suffixes, token_counts, toxicity
 from gridpanel.llm.common import read
 from gridpanel.llm.labels import fold
 from gridpanel.llm.registry import ORACLES, QUERIES, query
@@ -122,3 +122,8 @@ FROM full_ f ANTI JOIN begun b ON b.pos = f.n_turns AND b.h = md5(f.chat)
 @query("op7_chat", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read(spark, sf_dir, "conversations"))
+
+
+@query("op3_suffixes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
