@@ -104,12 +104,15 @@ def edited_pairs(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Dat
     ignored.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
-    base = docs.select("doc_id", text, sketch(F.col("text"), words, scale).alias("sketch"))
-    found = base.join(_followers(docs), F.col("doc_id").eqNullSafe(F.col("id")))
-    # dealt by doc_id already: one row per id without another exchange
-    first = found.groupBy("doc_id", "follows", "half").agg(F.min(F.struct("text", "sketch")).alias("x"))
-    nexts = first.select("follows", F.expr("left(x.text, half)").alias("head"), F.col("x.sketch").alias("next_sketch"))
-    joined = base.join(nexts, F.col("doc_id").eqNullSafe(F.col("follows")))
+    key = F.struct("doc_id")  # never null itself, so joins match null ids, too
+    base = docs.select(key.alias("key"), text, sketch(F.col("text"), words, scale).alias("sketch"))
+    links = _followers(docs).select(F.struct(F.col("id").alias("doc_id")).alias("key"), "follows", "half")
+    # dealt by key already: one row per id without another exchange
+    first = base.join(links, "key").groupBy("key", "follows", "half").agg(F.min(F.struct("text", "sketch")).alias("x"))
+    nexts = first.select(
+        F.struct(F.col("follows").alias("doc_id")).alias("key"), F.expr("left(x.text, half)").alias("head"), F.col("x.sketch").alias("next_sketch")
+    )
+    joined = base.join(nexts, "key").withColumn("doc_id", F.col("key.doc_id"))
     half = F.shiftright(F.char_length("text"), 1)
     edited = F.concat(F.left("text", F.char_length("text") - half), F.left("head", half))
     return joined.select("doc_id", "text", "sketch", edited.alias("edited"), "next_sketch").withColumn(
