@@ -131,11 +131,13 @@ def search(index: DataFrame, wanted: list[tuple[str, np.ndarray]], rarity: dict[
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for segment in batch.to_pylist():
-                key = np.array(segment["rows"], np.int64) * _ROW + np.array(segment["positions"], np.int64)
-                ends = np.cumsum(segment["sizes"])
-                names = np.array(segment["terms"], np.int64).view(np.uint64).tolist()
-                lists = {t: key[e - s : e] for t, e, s in zip(names, ends, segment["sizes"], strict=True)}
+            for at in range(batch.num_rows):
+                name, *values = (batch.column(c)[at] for c in range(5))
+                terms_here, sizes_here, rows, positions = (v.values.to_numpy(zero_copy_only=False) for v in values)
+                key = rows.astype(np.int64) * _ROW + positions
+                ends = np.cumsum(sizes_here)
+                names = terms_here.view(np.uint64).tolist()
+                lists = {t: key[e - s : e] for t, e, s in zip(names, ends.tolist(), sizes_here.tolist(), strict=True)}
                 found: list[tuple[str, np.ndarray, int]] = []
                 for item, terms in shared.value:
                     first = lists.get(terms[0][0])
@@ -160,7 +162,7 @@ def search(index: DataFrame, wanted: list[tuple[str, np.ndarray]], rarity: dict[
                     stop = begin + np.repeat([n for _, _, n in found], sizes)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([segment["segment"]] * len(begin)),
+                            pa.array([name.as_py()] * len(begin)),
                             pa.array((begin // _ROW).astype(np.int32)),
                             pa.array(np.repeat([i for i, _, _ in found], sizes).tolist(), pa.string()),
                             pa.array((begin % _ROW).astype(np.int32)),
