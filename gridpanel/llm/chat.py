@@ -79,7 +79,7 @@ def render(conversations: DataFrame) -> DataFrame:
 
     Each turn becomes ``<|role|>``, a line break, its text and ``<|end|>`` with a line
     break; a null role is ``unknown`` and a null text empty. A conversation is one row per
-    block of ``BLOCK`` turn numbers (``part`` from 0, nearly always one row), so no row holds
+    block of ``BLOCK`` turn numbers (``part``, nearly always only 0; -1 for null turns), so no row holds
     an unbounded conversation. Rows without conv_id form one conversation of their own.
     Repeated rows count once; an empty table gives an empty result; other columns are
     ignored.
@@ -97,7 +97,6 @@ def render(conversations: DataFrame) -> DataFrame:
         role, text = F.coalesce(t["role"], F.lit("unknown")), F.coalesce(t["text"], F.lit(""))
         return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
 
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())) - 1
     return parts.select(
-        "conv_id", number.alias("part"), "first_turn", "n_turns", "copies", F.array_join(F.transform("turns", line), "").alias("chat")
+        "conv_id", F.coalesce("block", F.lit(-1)).cast("int").alias("part"), "first_turn", "n_turns", "copies", F.array_join(F.transform("turns", line), "").alias("chat")
     )
