@@ -21,6 +21,7 @@ _LOW = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 23  # window starts of one text handled at once
 _BATCH = 1 << 19  # bytes of contexts in one suffix array
 _CROWD = 500  # different contexts of one anchor that are still sorted in one array
+_PART = 16  # window starts in a part of a crowded anchor's context
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,15 +157,15 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _cut_out(chosen: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, t1, t2, first, copied, bytes): the text of the chosen runs."""
-    wanted = chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "first", "last", "copied")).alias("runs"))
+    """(anchor, t1, t2, first, copied, bytes, at): the text of the chosen runs."""
+    wanted = chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "copied")).alias("runs"))
     # copies of a text meet before the shuffle, so a group of copies isn't one task
     texts = docs.where(F.col("_bytes") >= length).groupBy("_t1", "_t2").agg(F.first("text").alias("text"))
     met = texts.join(wanted, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")))
     one = F.explode("runs").alias("run")
     rows = met.select("t1", "t2", F.encode("text", "UTF-8").alias("raw"), one)
     body = F.substring("raw", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + F.lit(length))
-    return rows.select("run.anchor", "t1", "t2", "run.first", "run.copied", body.alias("bytes"))
+    return rows.select("run.anchor", "t1", "t2", "run.first", "run.copied", body.alias("bytes"), "run.at")
 
 
 def _sorted_matches(contexts: DataFrame, length: int) -> DataFrame:
@@ -194,8 +195,66 @@ def _sorted_matches(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "t1 bigint, t2 bigint, start int, stop int")
 
 
+def _parted(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts cut into parts of at most ``_PART`` window starts, keyed by what these windows share.
+
+    Equal windows have their anchor at the same offset, so they fall into the same part and
+    share its core, the bytes that all windows of a part have in common. The core is the
+    part's anchor, which splits a crowd by content.
+    """
+    part = max(1, min(_PART, length // 4))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for _, t1, t2, first, copied, raw, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums, powers = prefix_sums(np.frombuffer(raw, np.uint8))
+                offset = at - first - np.arange(len(raw) - length + 1)  # of the anchor, from each window start
+                lows = np.flatnonzero(np.diff(offset // part, prepend=-(1 << 40)))
+                highs = np.append(lows[1:], len(offset)) - 1
+                where = (offset[lows] // part).astype(np.uint64)
+                final = lows + offset[lows] % part  # the last start that a whole part would have
+                core = span_hash(sums, powers, final, final - part + 1 + length)
+                whole = span_hash(sums, powers, lows, highs + length) ^ (offset[lows] % part).astype(np.uint64)
+                for lo, hi, c, w, k in zip(lows.tolist(), highs.tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), where.tolist(), strict=True):
+                    rows.append((c ^ k, w, t1, t2, first + lo, copied, raw[lo : hi + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            names = ["anchor", "context", "t1", "t2", "first", "copied", "bytes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return contexts.mapInArrow(
+        run, "anchor bigint, context bigint, t1 bigint, t2 bigint, first int, copied boolean, bytes binary"
+    )
+
+
+def _crowd_matches(contexts: DataFrame, length: int) -> DataFrame:
+    """(t1, t2, start, stop) for anchors with very many different contexts.
+
+    Their parts are treated as whole contexts are: equal ones repeat, single ones are
+    sorted together by core; only a core that is crowded itself has its windows counted.
+    """
+    parts = materialize(_parted(contexts, length), "parts")
+    kinds = parts.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.max("copied").alias("c"))
+    kinds = materialize(kinds.select("anchor", "context", ((F.col("n") > 1) | F.col("c")).alias("known")), "part_kinds")
+    groups = kinds.groupBy(F.col("anchor").alias("name")).agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum((~F.col("known")).cast("int")).alias("single")
+    )
+    live = kinds.join(groups, F.col("anchor") == F.col("name")).where("known or kinds > 1")
+    live = live.select("anchor", "context", "known", F.expr("kinds > 1 and single > 0").alias("open"), (F.col("kinds") > _CROWD).alias("crowd"))
+    marked = materialize(parts.join(live, ["anchor", "context"]), "marked_parts")
+    stop = F.col("first") + F.octet_length("bytes")
+    same = marked.where("known and not copied").select("t1", "t2", F.col("first").alias("start"), stop.alias("stop"))
+    one = F.min(F.struct("t1", "t2", "first", "bytes")).alias("x")
+    single = marked.where("open").groupBy("anchor", "context", "known", "crowd").agg(one)
+    single = single.select("anchor", "x.t1", "x.t2", "x.first", F.col("known").alias("copied"), "x.bytes", "crowd")
+    sorted_ = _sorted_matches(single.where("not crowd").drop("crowd"), length)
+    counted = _counted_matches(single.where("crowd").drop("crowd"), length)
+    return same.union(sorted_).union(counted)
+
+
 def _counted_matches(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many different contexts: their windows are counted.
+    """The same for cores with very many different parts: their windows are counted.
 
     Such a group could be any size. Equal windows are combined before the shuffle.
     """
@@ -239,12 +298,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     live = live.select("anchor", "context", (F.col("n") > 1).alias("copied"), F.col("name").isNotNull().alias("open"), "crowd")
     marked = materialize(runs.join(live, ["anchor", "context"]), "marked")
     same = marked.where("copied").select("t1", "t2", F.col("first").alias("start"), (F.col("last") + F.lit(length)).alias("stop"))
-    one = F.min(F.struct("t1", "t2", "first", "last")).alias("x")
+    one = F.min(F.struct("t1", "t2", "first", "last", "at")).alias("x")
     chosen = marked.where("open").groupBy("anchor", "context", "copied", "crowd").agg(one)
     chosen = chosen.select("anchor", "copied", "crowd", "x.*")
     spans = same.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     matches = []
-    for crowd, find in ((False, _sorted_matches), (True, _counted_matches)):
+    for crowd, find in ((False, _sorted_matches), (True, _crowd_matches)):
         matches.append(find(_cut_out(chosen.where(F.col("crowd") == crowd), docs, length), length))
     edges = materialize(matches[0].union(matches[1]), "edges")
     more = edges.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
