@@ -92,25 +92,34 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] | None = No
     ``slot`` numbers a shard's rows from 0 without gaps, ascending doc_id (null first).
     Repeated rows each get a slot. An empty table gives an empty result. Columns of
     ``docs`` named like a result column are replaced.
+
+    Shards and slots are found from ids and sizes alone; other columns are written once
+    under a row number and meet their slot in one join on it, so no key is hot there.
     """
     keep = list(docs.columns if keep is None else keep)
-    own = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot", "_key")]
+    own = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot", "_key", "_row")]
+    ids = [c for c in own if c == "doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
         *own,
         (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_key"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    sized = materialize(sized, "sized")
-    groups = materialize(sized.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes")), "groups")
+    sized = materialize(sized, "sized")  # fixes the row numbers
+    rows = sized.select("_row", *ids, "size", "text_crc32", "_key")
+    groups = materialize(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes")), "groups")
     large, others = assign(groups, shards)
     near = F.broadcast(large)  # at most shards * _GRAIN rows; holds every group with many rows
-    hot = sized.join(near, F.col("_key") == F.col("key")).drop("key")
-    cold = sized.join(near, F.col("_key") == F.col("key"), "left_anti").join(others, F.col("_key") == F.col("key"))
+    hot = rows.join(near, F.col("_key") == F.col("key")).drop("key")
+    cold = rows.join(near, F.col("_key") == F.col("key"), "left_anti").join(others, F.col("_key") == F.col("key"))
     placed = hot.unionByName(cold.drop("key")).drop("_key")
-    order = [F.col("doc_id").asc_nulls_first()] if "doc_id" in own else []
-    return dense_index(placed, ["shard"], [*order, F.col("text_crc32"), F.col("size")], "slot")
+    order = [F.col(c).asc_nulls_first() for c in ids]
+    slots = dense_index(placed, ["shard"], [*order, F.col("text_crc32"), F.col("size")], "slot")
+    if own == ids:
+        return slots.drop("_row")
+    return sized.drop("_key").join(slots.select("_row", "shard", "slot"), "_row").drop("_row")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
