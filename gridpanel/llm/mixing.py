@@ -145,6 +145,7 @@ def to_targets(docs: DataFrame, **options) -> DataFrame:
     Keeping all rows would keep the sources' own shares; the rows after the mix has left
     its targets (see ``mix``) are what these weights have no use for.
     """
-    mixed = materialize(mix(docs, **options).where("on_target"), "mixed")
+    packed = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_doc"))  # own columns keep their names
+    mixed = materialize(mix(packed, **options).where("on_target").select("slot", "doc_id", "_doc"), "mixed")
     ordered = mixed.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id")
-    return ordered.select(*docs.columns)
+    return ordered.select("_doc.*")

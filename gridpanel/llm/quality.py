@@ -177,5 +177,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected."""
-    return classify(docs, labels, threshold).where("predicted = 1").select(*docs.columns)
+    """The rows of ``docs`` that aren't rejected, with all their own columns."""
+    hidden = {c: f"_own_{c}" for c in ("score", "predicted") if c in docs.columns}
+    found = classify(docs.withColumnsRenamed(hidden), labels, threshold).where("predicted = 1")
+    return found.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
