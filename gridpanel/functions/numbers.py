@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from gridpanel.functions.text import strip_text
 
 
+# a cast alone would also take the suffixes and hexadecimal forms of program literals
+_NUMERIC = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+
+
 def to_number(c: Column) -> Column:
     """Text to double; junk and the text ``nan`` become NULL."""
-    return F.nanvl(strip_text(c.cast("string")).try_cast("double"), F.lit(None).cast("double"))
+    text = strip_text(c.cast("string"))
+    return F.when(text.rlike(_NUMERIC), text.try_cast("double"))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

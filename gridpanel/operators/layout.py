@@ -21,11 +21,10 @@ def header_row(
     cells: DataFrame,
     keyword: str | Sequence[str],
     col: int | None = None,
-    max_rows: int = 20,
     name: str = "hdr_r",
     required: bool = False,
 ) -> DataFrame:
-    """First row (of ``max_rows``) with a cell containing a keyword, per sheet.
+    """First row of the whole sheet with a cell containing a keyword, per sheet.
 
     ``col=None`` looks at every column. ``required`` makes a sheet without such a
     row an error when the result is computed; otherwise the sheet is left out.
@@ -34,9 +33,7 @@ def header_row(
     hit = F.lit(False)
     for word in words:
         hit = hit | F.contains("v", F.lit(word))
-    found = cells.filter(F.col("r") < max_rows)
-    if col is not None:
-        found = found.filter(F.col("c") == col)
+    found = cells if col is None else cells.filter(F.col("c") == col)
     if not required:
         return found.filter(hit).groupBy(*SHEET).agg(F.min("r").alias(name))
     first = found.groupBy(*SHEET).agg(F.min(F.when(hit, F.col("r"))).alias(name))

@@ -35,6 +35,17 @@ SPECIES_SYNONYMS = {
 }
 
 
+def lookup_table(mapping: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) with one row per key, so that a join on it never multiplies rows.
+
+    Repeated entries that agree count once; entries that contradict each other raise an
+    error naming the key, because rows have no order in which one could win.
+    """
+    clash = F.raise_error(F.concat(F.lit("contradicting entries for "), F.col(key).cast("string"))).cast("string")
+    one = F.when(F.min(value).eqNullSafe(F.max(value)), F.min(value)).otherwise(clash)
+    return mapping.groupBy(key).agg(one.alias(value))
+
+
 def resolve_entity(df: DataFrame, mapping: DataFrame, host: str = "host", trim_fallback: bool = False) -> DataFrame:
     """Add ``host_canonical``; the raw spelling is matched exactly, untrimmed.
 
@@ -42,7 +53,7 @@ def resolve_entity(df: DataFrame, mapping: DataFrame, host: str = "host", trim_f
     Spark broadcasts it while its size allows and otherwise sort-merges with
     skew splitting. ``trim_fallback`` retries unmatched names on trimmed keys.
     """
-    keys = mapping.select(F.col("host_raw").alias(host), "host_canonical")
+    keys = lookup_table(mapping, "host_raw", "host_canonical").withColumnRenamed("host_raw", host)
     out = df.join(keys, host, "left")
     if not trim_fallback:
         return out
@@ -93,7 +104,7 @@ def map_species(
         return df
     trimmed = strip_text(F.col(species))
     if isinstance(synonyms, DataFrame):
-        table = synonyms.select(F.col("raw").alias("_trimmed"), F.col("canonical").alias("_canon"))
+        table = lookup_table(synonyms, "raw", "canonical").toDF("_trimmed", "_canon")
         joined = df.withColumn("_trimmed", trimmed).join(table, "_trimmed", "left")
         return joined.withColumn("species_canonical", F.coalesce("_canon", "_trimmed")).drop("_trimmed", "_canon")
     lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(synonyms.items())])

@@ -52,7 +52,7 @@ def ingest_early(cells: DataFrame) -> Tables:
     """Hosts across the columns, species blocks down the rows (state machine)."""
     hdr = pin(layout.header_row(cells, L.NAME_WORD, col=1, required=True))
     end = pin(layout.header_row(
-        cells, L.SECTION_FOUR_WORDS, col=0, max_rows=L.EARLY_SCAN_ROWS, name="end_r", required=True
+        cells, L.SECTION_FOUR_WORDS, col=0, name="end_r", required=True
     ))
     hosts = pin(reshape.column_hosts(cells, hdr, _is_entity(False), L.EARLY_FIRST_HOST_COL))
     body = cells.filter(F.col("c") >= L.EARLY_FIRST_HOST_COL)
@@ -86,7 +86,7 @@ def ingest_middle(cells: DataFrame) -> Tables:
     hdr = pin(layout.header_row(main, L.USER_WORD, col=0, required=True))
     hosts = reshape.row_hosts(main, _after(hdr), _is_entity(False))
     counted = layout.pick_sheet(cells, layout.sheet_by_priority(sheets_of(cells), L.MIDDLE_COUNT_SHEETS))
-    count_hdr = pin(layout.header_row(counted, L.USER_WORD, col=0, max_rows=10, required=True))
+    count_hdr = pin(layout.header_row(counted, L.USER_WORD, col=0, required=True))
     names = layout.header_names(counted, count_hdr, norm_species_v1).filter("c >= 2")
     count_hosts = reshape.row_hosts(counted, _after(count_hdr), _is_entity(False))
     ranged = layout.layout_by_col_range(main, L.MIDDLE_COL_RANGES)
@@ -120,7 +120,7 @@ def _species_tables(
 def _events(cells: DataFrame, denylist: Sequence[str]) -> DataFrame:
     chosen = layout.sheet_by_keyword(sheets_of(cells), L.RELOCATION_SHEET_WORD)
     log = layout.pick_sheet(cells, chosen)
-    hdr = pin(layout.header_row(log, L.USER_WORD, max_rows=10, required=True))
+    hdr = pin(layout.header_row(log, L.USER_WORD, required=True))
     return scan.relocation_events(log, hdr, denylist)
 
 
@@ -150,8 +150,8 @@ def ingest_late(cells: DataFrame, denylist: Sequence[str] = ()) -> Tables:
     """Sections by keyword on the count sheet, species one row above the user header."""
     chosen = layout.sheet_by_keyword(sheets_of(cells), L.COUNT_SHEET_WORD)
     counted = layout.pick_sheet(cells, chosen)
-    section_hdr = pin(layout.header_row(counted, L.COUNT_SECTIONS["ungulates"], max_rows=10, required=True))
-    user_hdr = pin(layout.header_row(counted, L.USER_WORD, max_rows=10, required=True))
+    section_hdr = pin(layout.header_row(counted, L.COUNT_SECTIONS["ungulates"], required=True))
+    user_hdr = pin(layout.header_row(counted, L.USER_WORD, required=True))
     species_hdr = user_hdr.withColumn("hdr_r", F.col("hdr_r") - 1)
     hosts = reshape.row_hosts(counted, _after(user_hdr), _is_entity(True, denylist))
     return {

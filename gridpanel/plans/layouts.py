@@ -48,7 +48,6 @@ EARLY_FINANCE_ROWS = {
 }
 EARLY_SPECIES_OFFSET = 29
 EARLY_FIRST_HOST_COL = 3
-EARLY_SCAN_ROWS = 201
 
 # Columns, middle era.
 MIDDLE_ENTITY_COLS = {

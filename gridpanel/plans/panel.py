@@ -169,12 +169,13 @@ def lag_regression_features(
 ) -> DataFrame:
     """Smoothed spending of year T with the population of T and T+1.
 
-    The rolling mean runs over reported rows, before pairs across a gap are dropped.
+    The rolling mean runs over reported rows, before pairs across a gap are dropped. An
+    entity-year with any finance value, of whatever metric, counts as reported.
     """
     pop = dedupe(filter_panel(populations, "count", species)).withColumnRenamed("value", "population_t")
     mean = lambda m: F.avg(F.when(F.col("metric") == m, F.col("value")))
-    fin = finances.groupBy("year", "host").agg(*[mean(m).alias(m) for m in spending])
-    fin = fin.na.drop("all", subset=list(spending))
+    fin = finances.groupBy("year", "host").agg(*[mean(m).alias(m) for m in spending], F.count("value").alias("_n"))
+    fin = fin.filter("_n > 0").drop("_n")
     joined = same_period(pop, fin)
     smooth = joined.select("year", "host", "population_t", *[rolling_mean3(F.col(m)).alias(m) for m in spending])
     paired = next_consecutive(smooth, "population_t", "population_t1")

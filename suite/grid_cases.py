@@ -86,11 +86,11 @@ def _header_row_fixed_col(spark, d):
 
 @case(
     "header_row_any_col",
-    "SELECT file_id, sheet, min(r) AS hdr_r FROM cells WHERE r < 10 AND contains(v, 'Кількість добутих') GROUP BY 1, 2",
+    "SELECT file_id, sheet, min(r) AS hdr_r FROM cells WHERE contains(v, 'Кількість добутих') GROUP BY 1, 2",
     ["cells"],
 )
 def _header_row_any_col(spark, d):
-    return layout.header_row(V.cells(spark, d), "Кількість добутих", max_rows=10)
+    return layout.header_row(V.cells(spark, d), "Кількість добутих")
 
 
 @case(
@@ -120,7 +120,7 @@ FROM cells h WHERE h.r = 0 AND h.v IS NOT NULL"""
 
 
 def _section_ranges(cells: DataFrame) -> DataFrame:
-    hdr = pin(layout.header_row(cells, SECTION_WORDS["count"], max_rows=10))
+    hdr = pin(layout.header_row(cells, SECTION_WORDS["count"]))
     return pin(layout.sections(cells, hdr, SECTION_WORDS))
 
 
@@ -160,7 +160,7 @@ def _first_data_row(spark, d):
 def _row_slice(spark, d):
     cells = V.cells_early(spark, d)
     start = layout.header_row(cells, L.NAME_WORD, col=1)
-    end = layout.header_row(cells, L.SECTION_FOUR_WORDS, col=0, max_rows=L.EARLY_SCAN_ROWS, name="end_r")
+    end = layout.header_row(cells, L.SECTION_FOUR_WORDS, col=0, name="end_r")
     return layout.row_slice(cells, start, end, L.EARLY_SPECIES_OFFSET).select("file_id", "r", "c", "v")
 
 
@@ -263,7 +263,7 @@ FIN_METRICS = ("total_expenses", "expense_protection", "expense_breeding", "expe
 
 @case("pivot_metrics", "SELECT * FROM fin_wide", ["fin_wide"], FIN_METRICS)
 def _pivot_metrics(spark, d):
-    return reshape.pivot_metrics(V.fin_raw(spark, d), ["year", "host"], FIN_METRICS)
+    return reshape.pivot_metrics(V.fin_raw(spark, d), ["year", "host"], [*FIN_METRICS, "gov_funding"]).drop("gov_funding")
 
 
 @case(
@@ -273,7 +273,7 @@ def _pivot_metrics(spark, d):
     ["value"],
 )
 def _unpivot_metrics(spark, d):
-    wide = reshape.pivot_metrics(V.fin_raw(spark, d), ["year", "host"], FIN_METRICS)
+    wide = reshape.pivot_metrics(V.fin_raw(spark, d), ["year", "host"], [*FIN_METRICS, "gov_funding"]).drop("gov_funding")
     return reshape.unpivot_metrics(wide, ["year", "host"], FIN_METRICS)
 
 
@@ -372,7 +372,7 @@ WHERE host IS NOT NULL AND species IS NOT NULL AND NOT contains(lower(host), 'р
 @case("relocation_events", EVENTS_SQL, ["event_rows"])
 def _relocation_events(spark, d):
     cells = _event_cells(spark, d)
-    return scan.relocation_events(cells, layout.header_row(cells, L.USER_WORD, max_rows=10))
+    return scan.relocation_events(cells, layout.header_row(cells, L.USER_WORD))
 
 
 # --- whole eras --------------------------------------------------------------------

@@ -63,7 +63,7 @@ def _join_pop_harvest(spark, d):
 )
 def _join_pop_finance(spark, d):
     pop = A.dedupe(small(spark, d)).withColumnRenamed("value", "population")
-    fin = pivot_metrics(V.fin_raw(spark, d), ["year", "host"], P.SPENDING)
+    fin = pivot_metrics(V.fin_raw(spark, d), ["year", "host"], [*P.SPENDING, "gov_funding"]).drop("gov_funding")
     return joins.same_period(pop, fin).select("year", "host", "population", "total_expenses")
 
 

@@ -39,8 +39,8 @@ GROUP BY f.year, m.host_canonical, f.species, f.metric"""
 
 SQL["fin_raw"] = """
 SELECT CAST(year(l.l_shipdate) AS INT) AS year, s.s_name AS host,
- CASE l.l_orderkey % 4 WHEN 0 THEN 'total_expenses' WHEN 1 THEN 'expense_protection'
-  WHEN 2 THEN 'expense_breeding' ELSE 'expense_feeding' END AS metric,
+ CASE WHEN s.s_suppkey % 5 = 1 AND year(l.l_shipdate) = 1995 THEN 'gov_funding' ELSE CASE l.l_orderkey % 4 WHEN 0 THEN 'total_expenses' WHEN 1 THEN 'expense_protection'
+  WHEN 2 THEN 'expense_breeding' ELSE 'expense_feeding' END END AS metric,
  CASE WHEN l.l_discount >= 0.095 THEN NULL ELSE l.l_extendedprice END AS value
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey"""
 
@@ -68,7 +68,7 @@ FROM part"""
 
 SQL["number_texts"] = """
 SELECT l_orderkey AS id, l_linenumber AS line,
- CASE l_orderkey % 7 WHEN 0 THEN 'x' WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 3 THEN '1 234' WHEN 4 THEN NULL
+ CASE l_orderkey % 7 WHEN 0 THEN CASE l_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '10d' WHEN 2 THEN '10f' ELSE '0x1p3' END WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 3 THEN '1 234' WHEN 4 THEN NULL
   WHEN 5 THEN concat(' ', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)), ' ')
   ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20)) END AS s
 FROM lineitem"""
