@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import chat, decontaminate, mixing, quality, sharding, simhash, sketches, suffixes, token_counts, toxicity
+from gridpanel.llm import (
+    chat,
+    decontaminate,
+    merkle_case,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    sketches,
+    suffixes,
+    token_counts,
+    toxicity,
+)
 from gridpanel.llm.common import read
 from gridpanel.llm.labels import fold
 from gridpanel.llm.registry import ORACLES, QUERIES, query
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "merkle_case"]
 
 
 @query("op1_simhash")

@@ -41,8 +41,8 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def dense_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
-    """Gapless 0-based position of each row in ``order`` within ``by``.
+def dense_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str, total: str | None = None) -> DataFrame:
+    """Gapless 0-based position of each row in ``order`` within ``by``; ``total``: a column for the group's rows.
 
     Rows are range-partitioned on (by, order), so a group with a third of all
     rows is spread over partitions; only counts per partition and group are
@@ -57,10 +57,11 @@ def dense_index(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     groups = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
-    starts = groups.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_from"), shift.alias("_shift"))
+    sizes = [F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []
+    starts = groups.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_from"), shift.alias("_shift"), *sizes)
     match = F.col("_part") == F.col("_from")
     for i, c in enumerate(by):
         match &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
     # one row per partition and group
     located = placed.join(starts, match).withColumn(name, F.col("_shift") + F.col("_at"))
-    return located.select(*df.columns, name)
+    return located.select(*df.columns, name, *([total] if total else []))
