@@ -14,6 +14,7 @@ from gridpanel.llm import (
     sharding,
     simhash,
     sketches,
+    spelling_case,
     suffixes,
     token_counts,
     toxicity,
@@ -22,7 +23,7 @@ from gridpanel.llm.common import read
 from gridpanel.llm.labels import fold
 from gridpanel.llm.registry import ORACLES, QUERIES, query
 
-__all__ = ["ORACLES", "QUERIES", "merkle_case"]
+__all__ = ["ORACLES", "QUERIES", "merkle_case", "spelling_case"]
 
 
 @query("op1_simhash")
