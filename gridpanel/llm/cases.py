@@ -10,6 +10,7 @@ from gridpanel.llm import (
     decontaminate,
     merkle_case,
     mixing,
+    packing_case,
     quality,
     sharding,
     simhash,
@@ -23,7 +24,7 @@ from gridpanel.llm.common import read
 from gridpanel.llm.labels import fold
 from gridpanel.llm.registry import ORACLES, QUERIES, query
 
-__all__ = ["ORACLES", "QUERIES", "merkle_case", "spelling_case"]
+__all__ = ["ORACLES", "QUERIES", "merkle_case", "packing_case", "spelling_case"]
 
 
 @query("op1_simhash")
