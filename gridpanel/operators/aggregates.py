@@ -92,7 +92,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
     by = list(by)
     span = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     if by:
-        ranged = join_dim(df, span, by, spread=[col])
+        ranged = join_dim(df, span, by)
     else:
         low, high = span.first()  # one row of two numbers
         ranged = df.withColumn("_lo", F.lit(low).cast("double")).withColumn("_hi", F.lit(high).cast("double"))

@@ -4,61 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-# A side is broadcast only below both bounds; beyond them the join is salted.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 << 20
-SALTS = 32
+from gridpanel.session import materialize
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local relation if it is small, else None.
+def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """Compute a table that several plans use once: it is written to the shared folder.
 
-    ``head`` reads partitions until it has ``max_rows + 1`` rows, so neither the
-    driver nor any task sees more than that, however large ``df`` is.
+    Its size is then known from its files, so Spark broadcasts it where it is small, and
+    neither the driver nor a plan holds its rows.
     """
-    rows = df.head(max_rows + 1)
-    if len(rows) > max_rows:
-        return None
-    columns = zip(*rows) if rows else ([] for _ in df.columns)
-    schema = to_arrow_schema(df.schema)
-    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
-    if table.nbytes > BROADCAST_BYTES:
-        return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
-
-
-def pin(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a small table once, so that several joins reuse it; a large one stays lazy."""
-    small = bounded(df, max_rows)
-    return df if small is None else small
-
-
-def join_dim(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+    return materialize(df, name)
+
+
+def join_dim(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a dimension whose size depends on the data.
 
-    Measured small: broadcast, the fact side is not shuffled. Otherwise the
-    dimension is replicated over ``SALTS`` buckets and fact rows pick one by
-    hashing ``spread``, so a hot key is shared by that many tasks.
+    The dimension is computed first, so that its size decides: below Spark's threshold it
+    is broadcast and the facts aren't shuffled. Above, both sides are dealt by key and
+    adaptive execution splits partitions that hot keys make large.
     """
-    on = list(on)
-    small = bounded(dim, max_rows)
-    if small is not None:
-        return fact.join(F.broadcast(small), on, how)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, on + ["_salt"], how).drop("_salt")
+    return fact.join(pin(dim, "dimension"), list(on), how)
 
 
 def same_period(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -67,7 +34,10 @@ def same_period(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join of per-entity values onto a panel."""
+    """Left join of per-entity values onto a panel; ``right`` has one row per key.
+
+    For a mapping, which may list a key several times, see ``resolve.lookup_table``.
+    """
     return left.join(right, list(on), "left")
 
 

@@ -40,7 +40,7 @@ def global_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
         *by, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start")
     )
     if by:
-        located = join_dim(placed, starts, [*by, "_part"], spread=["_at"])
+        located = join_dim(placed, starts, [*by, "_part"])
     else:
         located = placed.join(F.broadcast(starts), "_part")  # one row per partition
     return located.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

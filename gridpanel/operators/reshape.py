@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.numbers import to_number
@@ -25,7 +25,7 @@ def row_hosts(
 ) -> DataFrame:
     """Entity of each data row; rows ``keep`` rejects (totals, contaminants) are left out."""
     keys = cells.filter((F.col("c") == key_col) & F.col("v").isNotNull()).filter(keep(F.col("v")))
-    below = join_dim(keys, first_row, SHEET, spread=["r"]).filter("r >= first_r")
+    below = join_dim(keys, first_row, SHEET).filter("r >= first_r")
     return below.select(*SHEET, "r", strip_text(F.col("v")).alias("host"))
 
 
@@ -36,11 +36,31 @@ def melt_rows(cells: DataFrame, col_keys: DataFrame, hosts: DataFrame) -> DataFr
     no single value of which can be large.
     """
     keys = [c for c in col_keys.columns if c not in (*SHEET, "c")]
-    data = join_dim(cells, col_keys, [*SHEET, "c"], spread=["r"])
+    data = join_dim(cells, col_keys, [*SHEET, "c"])
     facts = data.join(hosts, [*SHEET, "r"])
     return facts.select(F.col("period").alias("year"), "host", *keys, to_number(F.col("v")).alias("value"))
 
 
+def melt_keyed(
+    cells: DataFrame, keys: DataFrame, keep: Callable[[Column], Column], names: Sequence[str] = ("table", "metric", "species")
+) -> DataFrame:
+    """Hosts down the rows: all tables of an era from one pass and one exchange.
+
+    ``keys`` (file_id, sheet, c, first_r, names...) says what each column of a sheet holds; a
+    column may have several entries, and the one with the first name NULL holds the hosts. A
+    row's cells meet by (sheet, row), a key of at most one row's width, and take the host
+    from each other. Rows above ``first_r``, without host or with one that ``keep`` rejects
+    are left out.
+    """
+    data = join_dim(cells, keys, [*SHEET, "c"]).filter("r >= first_r")
+    is_host = F.col(names[0]).isNull()
+    host = F.max(F.when(is_host, F.col("v"))).over(Window.partitionBy(*SHEET, "r"))
+    facts = data.withColumn("_host", host).filter(~is_host & F.col("_host").isNotNull()).filter(keep(F.col("_host")))
+    return facts.select(
+        *names, F.col("period").alias("year"), strip_text(F.col("_host")).alias("host"), to_number(F.col("v")).alias("value")
+    )
+
+
 def melt_layout(cells: DataFrame, hosts: DataFrame) -> DataFrame:
     """Melt of cells whose metric is already known from their position."""
     facts = cells.join(hosts, [*SHEET, "r"])
@@ -51,7 +71,7 @@ def column_hosts(
     cells: DataFrame, hdr: DataFrame, keep: Callable[[Column], Column], first_col: int = 3
 ) -> DataFrame:
     """Entity of each column, read from the header row."""
-    header = join_dim(cells.filter(F.col("c") >= first_col), hdr, SHEET, spread=["c"]).filter("r = hdr_r")
+    header = join_dim(cells.filter(F.col("c") >= first_col), hdr, SHEET).filter("r = hdr_r")
     named = header.filter(F.col("v").isNotNull()).filter(keep(F.col("v")))
     return named.select(*SHEET, "c", F.col("v").alias("host"))
 
@@ -60,13 +80,13 @@ def melt_cols(cells: DataFrame, row_keys: DataFrame, hosts: DataFrame) -> DataFr
     """Hosts across the columns, species or metrics down the rows -> long facts."""
     keys = [c for c in row_keys.columns if c not in (*SHEET, "r")]
     data = cells.join(row_keys, [*SHEET, "r"])
-    facts = join_dim(data, hosts, [*SHEET, "c"], spread=["r"])
+    facts = join_dim(data, hosts, [*SHEET, "c"])
     return facts.select(F.col("period").alias("year"), "host", *keys, to_number(F.col("v")).alias("value"))
 
 
 def melt_layout_cols(cells: DataFrame, hosts: DataFrame) -> DataFrame:
     """As ``melt_cols`` for cells whose metric is already known."""
-    facts = join_dim(cells, hosts, [*SHEET, "c"], spread=["r"])
+    facts = join_dim(cells, hosts, [*SHEET, "c"])
     return facts.select(F.col("period").alias("year"), "host", "metric", to_number(F.col("v")).alias("value"))
 
 

@@ -35,12 +35,17 @@ SPECIES_SYNONYMS = {
 }
 
 
-def lookup_table(mapping: DataFrame, key: str, value: str) -> DataFrame:
+def lookup_table(mapping: DataFrame, key: str, value: str, position: str = "position") -> DataFrame:
     """(key, value) with one row per key, so that a join on it never multiplies rows.
 
-    Repeated entries that agree count once; entries that contradict each other raise an
-    error naming the key, because rows have no order in which one could win.
+    With a column ``position``, such as ``scan_mapping`` adds, the mapping is an ordered
+    dictionary: of several entries for a key the last one wins, also if it is NULL. Without it
+    entries that agree count once, and entries that contradict each other raise an error naming
+    the key, because rows have no order in which one could win.
     """
+    if position in mapping.columns:
+        last = F.max(F.struct(F.col(position).alias("at"), F.col(value).alias("v"))).alias("last")
+        return mapping.groupBy(key).agg(last).select(key, F.col("last.v").alias(value))
     clash = F.raise_error(F.concat(F.lit("contradicting entries for "), F.col(key).cast("string"))).cast("string")
     one = F.when(F.min(value).eqNullSafe(F.max(value)), F.min(value)).otherwise(clash)
     return mapping.groupBy(key).agg(one.alias(value))
@@ -51,15 +56,15 @@ def resolve_entity(df: DataFrame, mapping: DataFrame, host: str = "host", trim_f
 
     No broadcast is forced: the mapping grows with the number of spellings, so
     Spark broadcasts it while its size allows and otherwise sort-merges with
-    skew splitting. ``trim_fallback`` retries unmatched names on trimmed keys.
+    skew splitting. ``trim_fallback`` retries unmatched names on trimmed keys; spellings that
+    are one after trimming follow the same rule as repeated ones (see ``lookup_table``).
     """
     keys = lookup_table(mapping, "host_raw", "host_canonical").withColumnRenamed("host_raw", host)
     out = df.join(keys, host, "left")
     if not trim_fallback:
         return out
-    trimmed = mapping.groupBy(strip_text(F.col("host_raw")).alias("_key")).agg(
-        F.min("host_canonical").alias("_canon")
-    )
+    cleaned = mapping.withColumn("_key", strip_text(F.col("host_raw")))
+    trimmed = lookup_table(cleaned, "_key", "host_canonical").withColumnRenamed("host_canonical", "_canon")
     retry = F.when(F.col("host_canonical").isNull(), strip_text(F.col(host)))
     out = out.withColumn("_key", retry).join(trimmed, "_key", "left")
     return out.withColumn("host_canonical", F.coalesce("host_canonical", "_canon")).drop("_key", "_canon")
@@ -133,19 +138,21 @@ def union_eras(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def mapping_cardinality(mapping: DataFrame) -> DataFrame:
-    return mapping.agg(
+    """Distinct raw spellings and distinct entities they stand for."""
+    return lookup_table(mapping, "host_raw", "host_canonical").agg(
         F.count("host_raw").alias("n_raw"), F.countDistinct("host_canonical").alias("n_canonical")
     )
 
 
 def entity_profile(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Per raw spelling: first and last year, distinct years, and how many spellings
-    share its canonical entity."""
+    share its canonical entity. A spelling listed several times counts once."""
     years = facts.select("host", "year").distinct().groupBy("host").agg(
         F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("year").alias("n_years")
     )
-    sizes = mapping.groupBy("host_canonical").agg(F.count(F.lit(1)).alias("group_size"))
-    named = mapping.join(sizes, "host_canonical").withColumnRenamed("host_raw", "host")
+    entries = lookup_table(mapping, "host_raw", "host_canonical").filter("host_canonical IS NOT NULL")
+    sizes = entries.groupBy("host_canonical").agg(F.count(F.lit(1)).alias("group_size"))
+    named = entries.join(sizes, "host_canonical").withColumnRenamed("host_raw", "host")
     return named.join(years, "host").select(
         "host", "host_canonical", "group_size", "first_year", "last_year", "n_years"
     )

@@ -26,67 +26,54 @@ from gridpanel.functions.text import (
 )
 from gridpanel.operators.joins import join_dim
 from gridpanel.operators.layout import SHEET
+from gridpanel.session import materialize
 
 BLOCK_ROWS = 65_536
 
 
 def carry_forward(
-    df: DataFrame,
-    value: str,
-    part: Sequence[str] = tuple(SHEET),
-    order: str = "r",
-    block_rows: int = BLOCK_ROWS,
-    ends: DataFrame | None = None,
+    df: DataFrame, value: str, part: Sequence[str] = tuple(SHEET), order: str = "r", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Replace ``value`` by its last non-null value at or before the row.
 
-    ``order`` is a unique row number within ``part``. ``ends`` may bring each
-    block's last value (``part, _blk, _last``) when it can be had more cheaply
-    than from ``df``.
+    ``order`` is a unique row number within ``part``. Rows that ``grid_rows`` has dealt by
+    blocks are filled without another exchange. Filled blocks are written once; a block's
+    last row says what the next one starts with.
     """
     part = list(part)
-    blocked = df.withColumn("_blk", F.floor(F.col(order) / block_rows))
+    blocked = df if "_blk" in df.columns else df.withColumn("_blk", F.floor(F.col(order) / block_rows))
     inside = Window.partitionBy(*part, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = materialize(blocked.withColumn(value, F.last(value, ignorenulls=True).over(inside)), "filled")
     # one row per block: at most (largest row number / block_rows) rows per sheet
-    if ends is None:
-        ends = blocked.groupBy(*part, "_blk").agg(
-            F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")
-        )
+    ends = local.groupBy(*part, "_blk").agg(F.max_by(value, order).alias("_last"))
     earlier = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*part, "_blk", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
-    local = blocked.withColumn(value, F.last(value, ignorenulls=True).over(inside))
     joined = local.join(carried, [*part, "_blk"], "left")
     return joined.withColumn(value, F.coalesce(value, "_before")).drop("_blk", "_before")
 
 
-def column_ends(cells: DataFrame, col: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Last filled cell of one column in each block of rows, straight from the cells."""
-    placed = cells.withColumn("_blk", F.floor(F.col("r") / block_rows))
-    last = placed.filter((F.col("c") == col) & F.col("v").isNotNull()).groupBy(*SHEET, "_blk").agg(
-        F.max_by("v", "r").alias("_last")
-    )
-    return placed.select(*SHEET, "_blk").distinct().join(last, [*SHEET, "_blk"], "left")
-
-
 def grid_rows(
-    cells: DataFrame, columns: Mapping[int, str], lookahead: Mapping[int, str] | None = None
+    cells: DataFrame, columns: Mapping[int, str], lookahead: Mapping[int, str] | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """One row per sheet row with named columns, optionally with cells of the row below.
 
     Looking ahead means the next row *number*, so a cell simply also reports to
-    the row above it and one aggregation yields both.
+    the row above it and one aggregation yields both. With ``block_rows`` cells are dealt
+    by block of rows, and the same exchange serves ``carry_forward``.
     """
     wanted = cells.filter(F.col("c").isin(list(columns))).select(*SHEET, "period", "c", "v", "r")
-    if not lookahead:
-        own = [F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in columns.items()]
-        return wanted.groupBy(*SHEET, "period", "r").agg(*own)
-    shifts = F.when(F.col("c").isin(list(lookahead)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    wanted = wanted.withColumn("_up", F.explode(shifts))
+    ups = F.array(F.lit(0))
+    if lookahead:
+        ups = F.when(F.col("c").isin(list(lookahead)), F.array(F.lit(0), F.lit(1))).otherwise(ups)
+    wanted = wanted.withColumn("_up", F.explode(ups)).withColumn("r", F.col("r") - F.col("_up"))
+    keys = [*SHEET, "period", "r"]
+    if block_rows:
+        wanted = wanted.withColumn("_blk", F.floor(F.col("r") / block_rows)).repartition(*SHEET, "_blk")
+        keys.append("_blk")
     at = lambda c, up: F.max(F.when((F.col("c") == c) & (F.col("_up") == up), F.col("v")))
     aggs = [at(c, 0).alias(name) for c, name in columns.items()]
-    aggs += [at(c, 1).alias(name) for c, name in lookahead.items()]
-    aggs.append(F.max(F.when(F.col("_up") == 0, F.lit(True))).alias("_own"))
-    rows = wanted.groupBy(*SHEET, "period", (F.col("r") - F.col("_up")).alias("r")).agg(*aggs)
+    aggs += [at(c, 1).alias(name) for c, name in (lookahead or {}).items()]
+    rows = wanted.groupBy(*keys).agg(*aggs, F.max(F.when(F.col("_up") == 0, F.lit(True))).alias("_own"))
     return rows.filter("_own").drop("_own")
 
 
@@ -139,9 +126,8 @@ def relocation_events(
 ) -> DataFrame:
     """Event log of a relocation sheet: host, species, count, location, origin."""
     names = {0: "host", 1: "species", 2: "count", 3: "location", 4: "origin"}
-    ends = column_ends(cells, 0, block_rows)
-    filled = carry_forward(grid_rows(cells, names), "host", block_rows=block_rows, ends=ends)
-    below = join_dim(filled, hdr, SHEET, spread=["r"]).filter("r > hdr_r")
+    filled = carry_forward(grid_rows(cells, names, block_rows=block_rows), "host", block_rows=block_rows)
+    below = join_dim(filled, hdr, SHEET).filter("r > hdr_r")
     host = strip_text(F.col("host"))
     kept = below.na.drop(subset=["host", "species"]).filter(
         ~is_aggregate(F.col("host"), extended=True) & ~is_contaminant(F.col("host"), denylist)

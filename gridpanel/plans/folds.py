@@ -40,7 +40,7 @@ def temporal_folds(df: DataFrame, order: Sequence[str] = ("year", "host"), n: in
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(period)) - F.col("_n")
     starts = sizes.select(period, before.alias("_start"))
     folds = starts.select(period, _fold_of(F.col("_start"), df.count(), n).alias("fold"))
-    return join_dim(df, folds, [period], spread=list(order[1:]))
+    return join_dim(df, folds, [period])
 
 
 def shuffled_folds(df: DataFrame, label: str, key: Sequence[str], n: int = 5, seed: int = 42) -> DataFrame:

@@ -92,6 +92,12 @@ HYBRID_FINANCE_COLS = {
 HYBRID_SECTION_ROW = 0
 HYBRID_SPECIES_ROW = 2
 
+# Rows and the host column of the latest count sheet.
+LATEST_SPECIES_ROW = 3
+LATEST_SUB_ROW = 4
+LATEST_FIRST_ROW = 5
+LATEST_HOST_COL = 1
+
 # Columns, late and latest eras.
 LATE_ENTITY_COLS = {
     1: "area_total",

@@ -8,6 +8,8 @@ from gridpanel.functions import numbers as N
 from gridpanel.functions import text as X
 from gridpanel.operators import filters, resolve
 from gridpanel.plans import final
+from gridpanel.session import shared_path
+from gridpanel.sources.facts import scan_mapping, write_table
 from suite import views as V
 from suite.registry import case
 from suite.tables import table
@@ -346,6 +348,44 @@ def _mapping_cardinality(spark, d):
     return resolve.mapping_cardinality(V.host_map(spark, d))
 
 
+# A mapping file with a further column and a later line for every third spelling.
+ORDERED_MAP = """SELECT host_raw, host_canonical AS first_choice, host_canonical AS host_canonical_draft, 0 AS line FROM host_map
+ UNION ALL SELECT host_raw, host_canonical, concat('Later ', host_canonical), 1 FROM host_map WHERE length(host_raw) % 3 = 0"""
+LAST_MAP = f"SELECT host_raw, max_by(host_canonical_draft, line) AS host_canonical FROM ({ORDERED_MAP}) o GROUP BY 1"
+
+
+def _mapping_file(spark, d):
+    """The mapping written as one CSV file, its repeated entries below the first ones."""
+    path = shared_path(spark, "mapping")
+    base = V.host_map(spark, d).select("host_raw", F.col("host_canonical").alias("first_choice"), F.col("host_canonical").alias("host_canonical_draft"))
+    later = base.filter(F.char_length("host_raw") % 3 == 0).withColumn("host_canonical_draft", F.concat(F.lit("Later "), "first_choice"))
+    rows = base.withColumn("line", F.lit(0)).unionByName(later.withColumn("line", F.lit(1)))
+    rows = rows.coalesce(1).sortWithinPartitions("line", "host_raw").drop("line")  # a dictionary file, as it is delivered
+    write_table(rows, path, partition_by=(), fmt="csv")
+    return scan_mapping(spark, path)
+
+
+@case(
+    "mapping_last_wins",
+    f"SELECT f.host, f.n, m.host_canonical FROM (SELECT host, count(*) AS n FROM facts_raw GROUP BY 1) f LEFT JOIN ({LAST_MAP}) m ON f.host = m.host_raw",
+    ["facts_raw", "host_map"],
+)
+def _mapping_last_wins(spark, d):
+    return resolve.resolve_entity(resolve.spelling_counts(V.facts_raw(spark, d)), _mapping_file(spark, d))
+
+
+@case(
+    "entity_profile_ordered",
+    f"""SELECT f.host, m.host_canonical, g.group_size, f.first_year, f.last_year, f.n_years
+       FROM (SELECT host, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years FROM facts_raw GROUP BY 1) f
+       JOIN ({LAST_MAP}) m ON f.host = m.host_raw
+       JOIN (SELECT host_canonical, count(*) AS group_size FROM ({LAST_MAP}) k GROUP BY 1) g ON m.host_canonical = g.host_canonical""",
+    ["facts_raw", "host_map"],
+)
+def _entity_profile_ordered(spark, d):
+    return resolve.entity_profile(V.facts_raw(spark, d), _mapping_file(spark, d))
+
+
 @case(
     "entity_profile",
     """SELECT f.host, m.host_canonical, g.group_size, f.first_year, f.last_year, f.n_years

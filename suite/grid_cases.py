@@ -23,13 +23,13 @@ from suite.tables import table
 @case(
     "scan_cells",
     """SELECT file_id, period, sheet, count(*) AS n_cells, count(v) AS n_filled, max(c) AS last_c FROM cells
-       WHERE period >= 1998 GROUP BY file_id, period, sheet""",
+       GROUP BY file_id, period, sheet""",
     ["cells"],
 )
 def _scan_cells(spark, d):
     path = shared_path(spark, "cells")
     cell_source.write_cells(V.cells(spark, d), path)
-    cells = cell_source.scan_cells(spark, path).filter("period >= 1998")
+    cells = cell_source.scan_cells(spark, path)
     return cells.groupBy("file_id", "period", "sheet").agg(
         F.count(F.lit(1)).alias("n_cells"), F.count("v").alias("n_filled"), F.max("c").alias("last_c")
     )
@@ -52,24 +52,64 @@ def _scan_fact_csv(spark, d):
 def _scan_many_eras(spark, d):
     folder = shared_path(spark, "eras")
     facts = materialize(V.panel(spark, d), "panel")
-    for suffix, span in (("", (1995, 1997)), ("_mid", (1998, 1999)), ("_new", (2000, 2001))):
-        part = facts.filter(F.col("year").between(*span))
-        fact_source.write_table(part, f"{folder}/populations{suffix}", partition_by=(), fmt="csv")
+    for suffix, span in (("", "year <= 1997"), ("_mid", "year IN (1998, 1999)"), ("_new", "year >= 2000")):
+        fact_source.write_table(facts.filter(span), f"{folder}/populations{suffix}", partition_by=(), fmt="csv")
     rows = fact_source.scan_many_eras(spark, folder, "populations", schemas.SPECIES_FACT)
     return rows.groupBy("era", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@case("write_table", "SELECT host, species, metric, value, year FROM panel WHERE year >= 1999", ["panel"], ["value"])
+# The panel in three files: the usual columns, other ones in another order, one column less.
+REORDERED = (("value", "note", "species", "metric", "host", "year"), ("host", "metric", "year", "value"))
+
+
+def _reordered_files(spark, d) -> str:
+    folder = shared_path(spark, "reordered")
+    facts = materialize(V.panel(spark, d).withColumn("note", F.concat(F.lit("n"), F.col("year").cast("string"))), "panel")
+    for i, (columns, rows) in enumerate(
+        ((schemas.SPECIES_FACT.names, "year <= 1997"), (REORDERED[0], "year IN (1998, 1999)"), (REORDERED[1], "year >= 2000"))
+    ):
+        fact_source.write_table(facts.filter(rows).select(*columns).coalesce(1), f"{folder}/part{i}", partition_by=(), fmt="csv")
+    return folder
+
+
+@case(
+    "scan_reordered_csv",
+    "SELECT year, host, CASE WHEN year < 2000 THEN species END AS species, metric, value FROM panel",
+    ["panel"],
+    ["value"],
+)
+def _scan_reordered_csv(spark, d):
+    return fact_source.scan_fact_csv(spark, f"{_reordered_files(spark, d)}/*", schemas.SPECIES_FACT, required=["year", "host"])
+
+
+@case(
+    "csv_columns",
+    """SELECT part, "column", CAST(position AS INT) AS position, status FROM (VALUES
+       ('part0', 'year', 0, 'present'), ('part0', 'host', 1, 'present'), ('part0', 'species', 2, 'present'),
+       ('part0', 'metric', 3, 'present'), ('part0', 'value', 4, 'present'),
+       ('part1', 'value', 0, 'present'), ('part1', 'note', 1, 'unknown'), ('part1', 'species', 2, 'present'),
+       ('part1', 'metric', 3, 'present'), ('part1', 'host', 4, 'present'), ('part1', 'year', 5, 'present'),
+       ('part2', 'host', 0, 'present'), ('part2', 'metric', 1, 'present'), ('part2', 'year', 2, 'present'),
+       ('part2', 'value', 3, 'present'), ('part2', 'species', NULL, 'absent')) v(part, "column", position, status)
+       WHERE part IN (SELECT CASE WHEN year <= 1997 THEN 'part0' WHEN year <= 1999 THEN 'part1' ELSE 'part2' END FROM panel)""",
+    ["panel"],
+)
+def _csv_columns(spark, d):
+    found = fact_source.csv_columns(spark, f"{_reordered_files(spark, d)}/*", schemas.SPECIES_FACT)
+    return found.select(F.regexp_extract("file", "(part[0-9])/", 1).alias("part"), "column", "position", "status")
+
+
+@case("write_table", "SELECT host, species, metric, value, year FROM panel", ["panel"], ["value"])
 def _write_table(spark, d):
     path = shared_path(spark, "panel")
     fact_source.write_table(V.panel(spark, d), path)
-    return spark.read.schema(schemas.SPECIES_FACT).parquet(path).filter("year >= 1999")
+    return spark.read.schema(schemas.SPECIES_FACT).parquet(path)
 
 
-@case("empty_typed", "SELECT year, host, species, metric, value FROM facts_raw WHERE metric = 'count'", ["facts_raw"])
+@case("empty_typed", "SELECT year, host, species, metric, value FROM facts_raw", ["facts_raw"])
 def _empty_typed(spark, d):
     absent = fact_source.empty_typed(spark, schemas.SPECIES_FACT)
-    return absent.unionByName(V.facts_raw(spark, d).filter("metric = 'count'"))
+    return absent.unionByName(V.facts_raw(spark, d))
 
 
 # --- layout discovery --------------------------------------------------------------
@@ -407,7 +447,39 @@ UNION ALL SELECT 'relocation', year, host, species, 'event', count FROM ({EVENTS
 )
 def _era_hybrid(spark, d):
     cells = V.cells(spark, d).unionByName(_event_cells(spark, d))
-    return _tagged(ingest.ingest_hybrid(cells))
+    # the analog reports only have sections of one group
+    return _tagged(ingest.ingest_hybrid(cells, missing="skip"))
+
+
+# Reports with a renamed sheet (1996), a blank header cell (1998) and a blank section cell (1999).
+DAMAGED = {
+    "sheet": "CASE WHEN period = 1996 AND sheet = '2-тп 1' THEN 'інший' ELSE sheet END",
+    "v": "CASE WHEN sheet = '2-тп 1' AND ((period = 1998 AND v = 'Користувач') OR (period = 1999 AND v LIKE 'Кількість добутих%')) THEN NULL ELSE v END",
+}
+_ON_MAIN = "EXISTS (SELECT 1 FROM m WHERE m.file_id = f.file_id AND m.sheet = '2-тп 1'{0})"
+_SECTION = "main AND header AND " + _ON_MAIN.format(" AND m.r = 0 AND contains(m.v, '{0}')")
+PARTS_SQL = {
+    "main sheet": "main",
+    "main header row": "main AND header",
+    **{f"populations section {k}": _SECTION.format(w) for k, w in L.COUNT_SECTIONS.items()},
+    **{f"harvest section {k}": _SECTION.format(w) for k, w in L.HARVEST_SECTIONS.items()},
+    "relocation sheet": "log",
+    "relocation header row": "log",
+}
+
+
+@case(
+    "missing_parts",
+    f"""WITH m AS (SELECT file_id, period, {DAMAGED['sheet']} AS sheet, r, c, {DAMAGED['v']} AS v FROM cells),
+    f AS (SELECT file_id, min(period) AS period FROM (SELECT file_id, period FROM m UNION ALL SELECT file_id, period FROM event_rows) a GROUP BY 1),
+    t AS (SELECT f.*, {_ON_MAIN.format('')} AS main, {_ON_MAIN.format(" AND m.c = 0 AND contains(m.v, 'Користувач')")} AS header,
+      EXISTS (SELECT 1 FROM event_rows e WHERE e.file_id = f.file_id) AS log FROM f)
+    {' UNION ALL '.join(f"SELECT file_id, period, '{part}' AS part FROM t f WHERE NOT ({found})" for part, found in PARTS_SQL.items())}""",
+    ["cells", "event_rows"],
+)
+def _missing_parts(spark, d):
+    cells = V.cells(spark, d).withColumns({name: F.expr(sql) for name, sql in DAMAGED.items()})
+    return ingest.missing_parts(cells.unionByName(_event_cells(spark, d)), "hybrid")
 
 
 @case("era_early", """WITH names AS (SELECT file_id, r, max(CASE WHEN c = 0 THEN v END) AS code, max(CASE WHEN c = 1 THEN v END) AS name,

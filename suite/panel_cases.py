@@ -8,7 +8,7 @@ from gridpanel.operators import aggregates as A
 from gridpanel.operators import joins, layout, ranking, sets, windows
 from gridpanel.operators.filters import filter_panel
 from gridpanel.operators.reshape import pivot_metrics
-from gridpanel.operators.resolve import SKIP, drop_unresolved, resolve_entity
+from gridpanel.operators.resolve import SKIP, drop_unresolved, lookup_table, resolve_entity
 from gridpanel.plans import anomaly, folds, panel as P, regress, scaling, validation
 from gridpanel.session import materialize
 from suite import views as V
@@ -87,7 +87,8 @@ def _join_trend(spark, d):
 )
 def _map_lookup(spark, d):
     counts = V.facts_raw(spark, d).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    return joins.attach(counts, V.host_map(spark, d).withColumnRenamed("host_raw", "host"), ["host"])
+    keys = lookup_table(V.host_map(spark, d), "host_raw", "host_canonical")
+    return joins.attach(counts, keys.withColumnRenamed("host_raw", "host"), ["host"])
 
 
 STABLE = """SELECT host FROM panel WHERE metric = 'count' AND species = 'SMALL' AND year BETWEEN 1995 AND 2001 AND value IS NOT NULL

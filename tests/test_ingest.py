@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from gridpanel.operators import layout
 from gridpanel.plans import final, ingest
@@ -178,6 +179,92 @@ def test_missing_header_is_an_error(spark):
     assert layout.header_row(grid, "Користувач", col=0).count() == 0
 
 
+def late_cells(spark, main="8.ОП користувачів 2022", count="15. Чисельність", log="13.РОЗСЕЛЕННЯ", blank=(), rows=True):
+    head, species, alpha, beta = sections_rows()
+    head = [None if v in blank else v for v in head]
+    user = ["Користувач" if "user" not in blank else None] + [None] * (len(head) - 1)
+    first = late_main(2022, main)
+    if not rows:
+        first = [x for x in first if x[4] <= 2 or x[5] > 0]
+    return cells(
+        spark, first, sheet("n", 2022, count, 1, [[None], head, [None], species, user, alpha, beta]), events_sheet("n", 2022, log, 2)
+    )
+
+
+INNER = {"count section row", "count header row"}
+SECTION_NAMES = {f"{t} section {k}" for t in ("populations", "harvest") for k in ("ungulates", "fur", "birds")}
+DAMAGES = [
+    ({}, set()),
+    ({"main": "8 ОП"}, {"main sheet", "main header row", "main data row"}),
+    ({"rows": False}, {"main data row"}),
+    ({"count": "15. Облік"}, {"count sheet", *INNER, *SECTION_NAMES}),
+    ({"blank": ("Чисельність хутрових",)}, {"populations section fur"}),
+    ({"blank": ("Кількість добутих (вилучених) пернатих",)}, {"harvest section birds"}),
+    ({"blank": ("Чисельність копитних",)}, {*INNER, *SECTION_NAMES}),
+    ({"blank": ("user",)}, {"count header row", *SECTION_NAMES}),
+    ({"log": "13"}, {"relocation sheet", "relocation header row"}),
+]
+
+
+@pytest.mark.parametrize(("damage", "want"), DAMAGES)
+def test_missing_parts_are_named(spark, damage, want):
+    grid = late_cells(spark, **damage)
+    assert {(r.file_id, r.period, r.part) for r in ingest.missing_parts(grid, "late").collect()} == {("n", 2022, p) for p in want}
+    if not want:
+        assert fact_rows(ingest.ingest_late(grid)["populations"]) == WANT_COUNTS
+        return
+    with pytest.raises(ingest.MissingParts, match=f"no {sorted(want)[0]} in n"):
+        ingest.ingest_late(grid)
+    tables = ingest.ingest_late(grid, missing="skip")
+    assert tables["populations"].count() == (0 if "populations section ungulates" in want else 4)
+    assert (tables["hosts_meta"].count() > 0) == ("main data row" not in want)
+
+
+def test_one_damaged_file_among_others(spark):
+    """A part that one file lacks doesn't hide in the tables of the others."""
+    good, bad = late_cells(spark), late_cells(spark, main="x").withColumn("file_id", F.lit("bad"))
+    both = good.unionByName(bad)
+    assert {(r.file_id, r.part) for r in ingest.missing_parts(both, "late").collect()} == {
+        ("bad", "main sheet"), ("bad", "main header row"), ("bad", "main data row")
+    }
+    with pytest.raises(ingest.MissingParts, match="in bad"):
+        ingest.ingest_late(both)
+
+
+def test_other_eras_name_what_they_lack(spark):
+    early = cells(spark, early_sheet()).withColumn("v", F.when(~F.contains("v", F.lit("Розділ")), F.col("v")))
+    assert [r.part for r in ingest.missing_parts(early, "early").collect()] == ["section four"]
+    blank = cells(spark, sheet("m", 2014, "2-тп 1", 0, [["Користувач", "x"]]))
+    assert {r.part for r in ingest.missing_parts(blank, "middle").collect()} == {"count sheet", "count header row"}
+    latest = latest_cells(spark).filter("sheet <> 'Чисельність'")
+    assert [r.part for r in ingest.missing_parts(latest, "latest").collect()] == ["count sheet"]
+    with pytest.raises(ValueError, match="missing must be"):
+        ingest.ingest_latest(latest, missing="drop")
+
+
+def test_required_operators_name_the_sheet(spark):
+    """Also a sheet without a single cell in the column that is searched."""
+    grid = cells(
+        spark, sheet("a", 1, "S", 0, [["Користувач", "k1", None], ["x", "y", "z"]]),
+        [("b", 1, "T", 0, 0, 5, "far away")], sheet("c", 1, "U", 0, [["Користувач", "k1", None], [None, "y", None]]),
+    )
+    with pytest.raises(PySparkException, match="no header row in b T"):
+        layout.header_row(grid, "Користувач", col=0, required=True).collect()
+    hdr = layout.header_row(grid, "Користувач", col=0)
+    assert rows_of(hdr, "file_id", "hdr_r") == [("a", 0), ("c", 0)]
+    with pytest.raises(PySparkException, match="no section in [ac] [SU] two"):
+        layout.sections(grid, hdr, {"one": "k1", "two": "k2"}, required=True).collect()
+    assert rows_of(layout.sections(grid, hdr, {"one": "k1"}, required=True), "file_id", "c0", "c1") == [("a", 1, 2), ("c", 1, 2)]
+    with pytest.raises(PySparkException, match="no data row in c U"):
+        layout.first_data_row(grid, hdr, required=True).collect()
+    sheets = ingest.sheets_of(grid)
+    with pytest.raises(PySparkException, match="no such sheet in [ac]"):
+        layout.sheet_by_keyword(sheets, "t", required=True).collect()
+    with pytest.raises(PySparkException, match="no such sheet in [ab]"):
+        layout.sheet_by_priority(sheets, ["U"], required=True).collect()
+    assert rows_of(layout.sheet_by_priority(sheets, ["U", "T", "S"], required=True), "file_id", "sheet") == [("a", "S"), ("b", "T"), ("c", "U")]
+
+
 def test_final_tables_of_two_eras(spark):
     mapping = spark.createDataFrame([("Альфа", "A"), ("Бета", "SKIP")], "host_raw string, host_canonical string")
     eras = [ingest.ingest_early(cells(spark, early_sheet())), ingest.ingest_latest(latest_cells(spark))]

@@ -21,3 +21,13 @@ def test_repeated_mapping_entries(spark):
     clash = spark.createDataFrame([("a", "A"), ("a", "B")], "host_raw string, host_canonical string")
     with pytest.raises(Exception, match="contradicting entries for a"):
         resolve_entity(facts, clash).collect()
+
+
+def test_trimmed_names_that_contradict(spark):
+    """Spellings that are one after trimming follow the rule of repeated entries."""
+    facts = spark.createDataFrame([("b", 1)], "host string, n int")
+    mapping = spark.createDataFrame([(" b", "X"), ("b ", "Y")], "host_raw string, host_canonical string")
+    with pytest.raises(Exception, match="contradicting entries for b"):
+        resolve_entity(facts, mapping, trim_fallback=True).collect()
+    ordered = spark.createDataFrame([(" b", "X", 2), ("b ", "Y", 1)], "host_raw string, host_canonical string, position int")
+    assert resolve_entity(facts, ordered, trim_fallback=True).first().host_canonical == "X"

@@ -56,13 +56,21 @@ def test_means_survive_pre_aggregation(spark):
     assert rows_of(resolve.resolve_mean(rows, mapping, ["year"]), "host", "year", "value") == [("x", 1, 4.0), ("x", 2, None)]
 
 
-def test_salted_join_equals_broadcast(spark):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_dimension_joins(spark, threshold):
+    """Broadcast or dealt by key, a hot key among them: the same rows."""
     fact = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    plain = rows_of(joins.join_dim(fact, dim, ["k"], ["id"]), "k", "id", "v")
-    assert rows_of(joins.join_dim(fact, dim, ["k"], ["id"], max_rows=5), "k", "id", "v") == plain
-    left = joins.join_dim(fact, dim, ["k"], ["id"], how="left", max_rows=5)
-    assert left.count() == 2000 and joins.join_dim(fact, dim, ["k"], ["id"], how="left_semi", max_rows=5).count() == len(plain)
+    want = [(7 if i % 3 == 0 else i % 50, i) for i in range(2000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = [tuple(r) for r in joins.join_dim(fact, dim, ["k"]).select("k", "id", "v").collect()]
+        assert sorted(got) == sorted((k, i, 2 * k) for k, i in want if k < 40)
+        assert joins.join_dim(fact, dim, ["k"], how="left").count() == 2000
+        assert joins.join_dim(fact, dim, ["k"], how="left_semi").count() == len(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 500])

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from gridpanel import schemas
+from gridpanel.operators import resolve
 from gridpanel.session import materialize, shared_folder, shared_path
 from gridpanel.sources import facts as S
 from gridpanel.streaming.arrivals import append_final, arriving_facts
@@ -24,6 +25,86 @@ def test_csv_round_trip(spark):
     )
 
 
+def put(spark, name, *files):
+    """A folder with the given texts as files, written by Spark's own file system."""
+    folder = shared_path(spark, name)
+    os.makedirs(folder)
+    for i, text in enumerate(files):
+        with open(f"{folder}/f{i}.csv", "w", encoding="utf-8", newline="") as file:
+            file.write(text)
+    return folder
+
+
+def test_csv_columns_are_bound_by_name(spark):
+    folder = put(
+        spark, "named",
+        "year,host,species,metric,value\n2000,A,Лось,count,1.5\n",
+        "host,value,note,year,metric\nB,2,x,2001,count\n",
+        '\ufeffvalue,"host",year\n3,"C, c",2002\n',
+        "",
+        "host,year\n",
+    )
+    got = S.scan_fact_csv(spark, folder, schemas.SPECIES_FACT, required=["host", "year"])
+    assert got.schema == schemas.SPECIES_FACT
+    assert rows_of(got, "year", "host", "species", "metric", "value") == [
+        (2000, "A", "Лось", "count", 1.5), (2001, "B", None, "count", 2.0), (2002, "C, c", None, None, 3.0)
+    ]
+    found = {(r.file[-6:-4], r.column, r.position, r.status) for r in S.csv_columns(spark, folder, schemas.SPECIES_FACT).collect()}
+    assert {("f1", "note", 2, "unknown"), ("f1", "species", None, "absent"), ("f2", "value", 0, "present"), ("f3", None, None, "empty")} <= found
+    assert sum(s == "absent" for *_, s in found) == 6
+    with pytest.raises(S.MissingColumns, match="f4.csv: no column value"):
+        S.scan_fact_csv(spark, folder, schemas.SPECIES_FACT, required=["value"])
+    assert S.scan_fact_csv(spark, f"{folder}/none*", schemas.SPECIES_FACT).count() == 0
+    twice = put(spark, "twice", "year,host,host\n1,a,b\n")
+    with pytest.raises(S.MissingColumns, match="column host twice"):
+        S.scan_fact_csv(spark, twice, schemas.SPECIES_FACT)
+
+
+def test_blanks_in_csv_survive(spark):
+    path = shared_path(spark, "blanks")
+    rows = spark.createDataFrame([(1, " A ", "m", 1.0)], schemas.ENTITY_FACT)
+    S.write_table(rows, path, partition_by=(), fmt="csv")
+    assert rows_of(S.scan_fact_csv(spark, path, schemas.ENTITY_FACT), "host") == [(" A ",)]
+
+
+def test_compressed_headers(spark):
+    path = shared_path(spark, "gz")
+    small(spark).select("value", "host", "year").write.option("header", True).option("compression", "gzip").csv(path)
+    assert rows_of(S.scan_fact_csv(spark, path, schemas.SPECIES_FACT), "year", "value") == [(2000, 1.5), (2001, None)]
+
+
+def test_mapping_file_with_repeated_entries(spark):
+    """Read by name, in file order, and the last entry wins everywhere."""
+    text = "n,host_canonical_draft,host_raw\n1,X,a\n2,Y,b \n3,Z,a\n4,SKIP,c\n5,W, b\n"
+    mapping = S.scan_mapping(spark, put(spark, "mapping", text))
+    lookup = resolve.lookup_table(mapping, "host_raw", "host_canonical")
+    assert rows_of(lookup, "host_raw", "host_canonical") == [(" b", "W"), ("a", "Z"), ("b ", "Y"), ("c", "SKIP")]
+    facts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1), ("d", 1)], "host string, year int")
+    assert rows_of(resolve.resolve_entity(facts, mapping), "host", "host_canonical") == [("a", "Z"), ("b", None), ("c", "SKIP"), ("d", None)]
+    assert rows_of(resolve.resolve_entity(facts, mapping, trim_fallback=True), "host", "host_canonical") == [
+        ("a", "Z"), ("b", "W"), ("c", "SKIP"), ("d", None)
+    ]
+    assert rows_of(resolve.entity_profile(facts, mapping), "host", "host_canonical", "group_size") == [("a", "Z", 1), ("c", "SKIP", 1)]
+    assert tuple(resolve.mapping_cardinality(mapping).first()) == (4, 4)
+    with pytest.raises(S.MissingColumns, match="no column host_canonical_draft"):
+        S.scan_mapping(spark, put(spark, "mapping", "host_raw,other\na,b\n"))
+
+
+def test_order_of_a_long_mapping(spark):
+    """Entries stay in file order across the file's splits."""
+    lines = [f"k{i % 700},v{i}" for i in range(4000)]
+    folder = put(spark, "long", "host_raw,host_canonical_draft\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        mapping = S.scan_mapping(spark, folder)
+        assert mapping.rdd.getNumPartitions() > 3
+        got = {r.host_raw: r.host_canonical for r in resolve.lookup_table(mapping, "host_raw", "host_canonical").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(line.split(",") for line in lines)
+
+
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_eras_are_found_and_missing_ones_ignored(spark, fmt):
     folder = shared_path(spark, "eras")
