@@ -110,13 +110,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int =
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the smallest doc_id stays.
+    """The rows of ``docs`` without near duplicates: one row of each group stays.
 
-    Several rows with that doc_id count as one; rows without doc_id can't be named
-    by a decision and stay.
+    It is the one with the smallest doc_id (null last); of several rows with that id, the
+    one with the smallest hash over all columns. Rows are told apart by id and hash, not
+    by id alone, so texts that share an id are decided one by one; rows equal in every
+    column count once.
     """
-    found = near_duplicates(docs, words, distance)
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # joined rows are already dealt and sorted by doc_id, so dropping repeats costs no exchange
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), words, distance)
+    chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_chosen")).distinct()
+    kept = docs.withColumn("_row", key).join(chosen, F.col("_row") == F.col("_chosen"), "left_semi")
+    # joined rows are already dealt and sorted by the key, so dropping repeats costs no exchange
+    return kept.dropDuplicates(["_row"]).drop("_row")

@@ -44,6 +44,18 @@ def test_simhash(docs):
     assert got == {i: (prints[i], root[i]) for i in texts}
 
 
+def test_keep_one_by_row(spark):
+    """Texts that share an id are decided one by one; copies of one text leave one row."""
+    text, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i * i}" for i in range(50))
+    rows = [(3, text, "s", "k"), (5, text, "s", "k"), (5, other, "s", "k"), (5, other, "s", "k"), (None, other, "s", "k")]
+    rows += [(None, "lone text", "s", "k"), (None, "lone text", "t", "k"), (9, None, "s", "k"), (8, "", "s", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(3, text), (5, other), (None, "lone text"), (8, "")], key=str)
+    assert simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     for _ in range(100):
