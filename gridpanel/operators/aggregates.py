@@ -7,19 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpanel.functions.exact import exact_mean, exact_sum
 from gridpanel.operators.joins import join_dim
 from gridpanel.operators.ranking import exact_quantiles
 
 
 def dedupe(df: DataFrame, keys: Sequence[str] = ("year", "host"), how: str = "mean") -> DataFrame:
-    """One row per key: spellings merged into one entity are averaged (or summed)."""
-    agg = {"mean": F.avg, "sum": F.sum}[how]
-    return df.groupBy(*keys).agg(agg("value").alias("value"))
+    """One row per key: spellings merged into one entity are averaged (or summed).
+
+    Sums are exact, so the result doesn't depend on how rows are dealt to tasks.
+    """
+    agg = {"mean": exact_mean, "sum": exact_sum}[how]
+    return df.groupBy(*keys).agg(agg(F.col("value")).alias("value"))
 
 
 def yearly_sum(df: DataFrame) -> DataFrame:
     """Total per year; a year of nulls only totals 0."""
-    return df.groupBy("year").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+    return df.groupBy("year").agg(F.coalesce(exact_sum(F.col("value")), F.lit(0.0)).alias("total"))
 
 
 def mean_of_sums(df: DataFrame) -> DataFrame:

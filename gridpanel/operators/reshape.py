@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpanel.functions.exact import exact_mean
 from gridpanel.functions.numbers import to_number
 from gridpanel.functions.text import strip_text
 from gridpanel.operators.joins import join_dim
@@ -94,7 +95,7 @@ def pivot_metrics(facts: DataFrame, keys: Sequence[str], metrics: Sequence[str])
     """Long metrics to columns, mean per cell. Metrics are listed, so no extra pass
     collects them; rows with no value at all vanish."""
     wide = facts.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
+        *[exact_mean(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
     )
     return wide.na.drop("all", subset=list(metrics))
 

@@ -8,6 +8,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpanel.functions import exact
 from gridpanel.functions.text import strip_text
 
 SKIP = "SKIP"
@@ -119,12 +120,14 @@ def map_species(
 def resolve_mean(facts: DataFrame, mapping: DataFrame, keys: Sequence[str], skip: str = SKIP) -> DataFrame:
     """Mean per canonical entity and ``keys``, with the mapping joined *after* a first
     aggregation on raw spellings: what is shuffled and joined is one row per key, not
-    one per fact, and a hot entity has been combined on the map side."""
+    one per fact, and a hot entity has been combined on the map side. The parts that are
+    added up are integers, so merging them twice costs no accuracy."""
     keys = list(keys)
-    parts = facts.groupBy("host", *keys).agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    whole, fraction = exact.parts(F.col("value"))
+    parts = facts.groupBy("host", *keys).agg(F.sum(whole).alias("_w"), F.sum(fraction).alias("_f"), F.count("value").alias("_n"))
     known = drop_unresolved(resolve_entity(parts, mapping), skip)
     total = known.groupBy(F.col("host_canonical").alias("host"), *keys).agg(
-        F.sum("_s").alias("_s"), F.sum("_n").alias("_n")
+        exact.joined(F.sum("_w"), F.sum("_f")).alias("_s"), F.sum("_n").alias("_n")
     )
     return total.select("host", *keys, F.try_divide("_s", "_n").alias("value"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpanel.functions.exact import exact_mean
 from gridpanel.functions.numbers import rate_label, ratio, round_report
 from gridpanel.operators.aggregates import coverage_filter, dedupe, median_split, slope, yearly_sum
 from gridpanel.operators.filters import drop_incomplete, fill_missing, filter_panel
@@ -173,7 +174,7 @@ def lag_regression_features(
     entity-year with any finance value, of whatever metric, counts as reported.
     """
     pop = dedupe(filter_panel(populations, "count", species)).withColumnRenamed("value", "population_t")
-    mean = lambda m: F.avg(F.when(F.col("metric") == m, F.col("value")))
+    mean = lambda m: exact_mean(F.when(F.col("metric") == m, F.col("value")))
     fin = finances.groupBy("year", "host").agg(*[mean(m).alias(m) for m in spending], F.count("value").alias("_n"))
     fin = fin.filter("_n > 0").drop("_n")
     joined = same_period(pop, fin)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridpanel.operators.aggregates import fold_mean_std
 from gridpanel.operators.ranking import rank_by
 from gridpanel.plans.folds import temporal_folds
+from gridpanel.plans.gram import expanding_predictions
 from gridpanel.plans.panel import SPENDING
 from gridpanel.plans.scaling import scaled, scaler
 from gridpanel.plans.validation import Fit, fold_mae, out_of_fold
@@ -61,6 +62,8 @@ def prepared(features: DataFrame) -> DataFrame:
 
 def temporal_predictions(features: DataFrame, family: str, cols: Sequence[str], target: str, n: int = FOLDS) -> DataFrame:
     folded = materialize(temporal_folds(features, n=n), "folds")
+    if family == "linear":
+        return expanding_predictions(folded, cols, target)
     return out_of_fold(folded, fit_family(family, cols, target), range(n))
 
 

@@ -301,7 +301,7 @@ def _melt_hosts_cols(spark, d):
 FIN_METRICS = ("total_expenses", "expense_protection", "expense_breeding", "expense_feeding")
 
 
-@case("pivot_metrics", "SELECT * FROM fin_wide", ["fin_wide"], FIN_METRICS)
+@case("pivot_metrics", "SELECT * FROM fin_wide", ["fin_wide"], exact=True)
 def _pivot_metrics(spark, d):
     return reshape.pivot_metrics(V.fin_raw(spark, d), ["year", "host"], [*FIN_METRICS, "gov_funding"]).drop("gov_funding")
 
@@ -310,7 +310,7 @@ def _pivot_metrics(spark, d):
     "unpivot_metrics",
     "SELECT year, host, metric, value FROM (SELECT * FROM fin_wide) UNPIVOT INCLUDE NULLS (value FOR metric IN (total_expenses, expense_protection, expense_breeding, expense_feeding))",
     ["fin_wide"],
-    ["value"],
+    exact=True,
 )
 def _unpivot_metrics(spark, d):
     wide = reshape.pivot_metrics(V.fin_raw(spark, d), ["year", "host"], [*FIN_METRICS, "gov_funding"]).drop("gov_funding")

@@ -132,19 +132,62 @@ def _regressed(spark, d):
     return regress.prepared(lag_features(spark, d))
 
 
-@case("forecast_linear")
+def linear_folds_sql(cols, target: str) -> str:
+    """CTEs ending in ``predicted``: normal equations of five expanding folds, by elimination.
+
+    Columns are standardised, so the equations need no exchange of rows.
+    """
+    names, k = [*cols, target], len(cols)
+    sums = [f"{V.exact_sum_sql(c)} AS s{i}" for i, c in enumerate(names)]
+    products = [f"{V.exact_sum_sql(f'({names[i]} * {names[j]})')} AS p{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)]
+    spread = [f"p{i}_{j} - s{i} * s{j} / n AS c{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)]
+    unit = [f"c{i}_{j} / sqrt(c{i}_{i} * c{j}_{j}) AS a{i}_{j}" for i in range(k) for j in range(i, k + 1)]
+    steps, before = [], "unit"
+    for t in range(k - 1):
+        rest = [f"a{i}_{j} - a{t}_{i} * a{t}_{j} / a{t}_{t} AS a{i}_{j}" for i in range(t + 1, k) for j in range(i, k + 1)]
+        steps.append(f"e{t} AS (SELECT * REPLACE ({', '.join(rest)}) FROM {before})")
+        before = f"e{t}"
+    for i in reversed(range(k)):
+        known = "".join(f" - a{i}_{j} * x{j}" for j in range(i + 1, k))
+        steps.append(f"x_{i} AS (SELECT *, (a{i}_{k}{known}) / a{i}_{i} AS x{i} FROM {before})")
+        before = f"x_{i}"
+    slopes = ", ".join(f"x{i} * sqrt(c{k}_{k} / c{i}_{i}) AS b{i}" for i in range(k))
+    base = f"s{k} / n" + "".join(f" - b{i} * s{i} / n" for i in range(k))
+    fitted = " + ".join([f"({base})", *(f"b{i} * {c}" for i, c in enumerate(cols))])
+    return f"""f AS (SELECT *, CASE WHEN idx >= m - 5 * (m // 6) THEN CAST(floor((idx - (m - 5 * (m // 6))) / (m // 6)) AS INT) ELSE -1 END AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY year, host) - 1 AS idx, count(*) OVER () AS m FROM lag_f) q),
+moments AS (SELECT k.fold, count(*) AS n, {', '.join(sums + products)} FROM (SELECT unnest(range(5)) AS fold) k JOIN f ON f.fold < k.fold GROUP BY 1),
+spread AS (SELECT *, {', '.join(spread)} FROM moments),
+unit AS (SELECT *, {', '.join(unit)} FROM spread),
+{', '.join(steps)},
+slopes AS (SELECT *, {slopes} FROM {before}),
+predicted AS (SELECT f.host, f.year, f.fold, f.{target} AS actual, {fitted} AS prediction FROM f JOIN slopes s ON f.fold = s.fold)"""
+
+
+def _predicted(rows):
+    return rows.select("host", "year", "fold", "prediction")
+
+
+LEVEL_SQL = f"WITH {linear_folds_sql(regress.LEVEL_FEATURES, 'population_t1')} SELECT host, year, fold, prediction FROM predicted"
+LEVEL_MAE_SQL = f"""WITH {linear_folds_sql(regress.LEVEL_FEATURES, 'population_t1')}
+SELECT round_even(avg(m), 1) AS mae, round_even(stddev_pop(m), 1) AS mae_std, count(m) AS folds
+FROM (SELECT fold, avg(abs(actual - prediction)) AS m FROM predicted GROUP BY 1) q"""
+DELTA_SQL = f"WITH {linear_folds_sql(P.SPENDING, 'delta')} SELECT host, year, fold, prediction FROM predicted"
+
+
+@case("forecast_linear", LEVEL_SQL, ["lag_f"], ["prediction"])
 def _forecast_linear(spark, d):
-    return regress.forecast_linear(_regressed(spark, d))
+    return _predicted(regress.forecast_linear(_regressed(spark, d)))
 
 
-@case("forecast_linear_mae")
+@case("forecast_linear_mae", LEVEL_MAE_SQL, ["lag_f"])
 def _forecast_linear_mae(spark, d):
     return regress.cv_mae(regress.forecast_linear(_regressed(spark, d)), "population_t1")
 
 
-@case("delta_model_linear")
+@case("delta_model_linear", DELTA_SQL, ["lag_f"], ["prediction"])
 def _delta_linear(spark, d):
-    return regress.delta_model(_regressed(spark, d), "linear")
+    return _predicted(regress.delta_model(_regressed(spark, d), "linear"))
 
 
 @case("delta_model_boosted")

@@ -149,7 +149,12 @@ def _dedupe_mean(spark, d):
     return A.dedupe(known.select("year", F.col("host_canonical").alias("host"), "value"))
 
 
-@case("metric_mean", "SELECT year, host, metric, avg(value) AS value FROM fin_raw GROUP BY 1, 2, 3", ["fin_raw"], ["value"])
+@case(
+    "metric_mean",
+    f"SELECT year, host, metric, {V.exact_mean_sql('value')} AS value FROM fin_raw GROUP BY 1, 2, 3",
+    ["fin_raw"],
+    exact=True,
+)
 def _metric_mean(spark, d):
     return A.dedupe(V.fin_raw(spark, d), ["year", "host", "metric"])
 
@@ -564,7 +569,7 @@ def _classification_report(spark, d):
 LAG_COLS = ["population_t", "population_t1", *P.SPENDING, "delta"]
 
 
-@case("lag_regression_features", f"SELECT host, year, {', '.join(LAG_COLS)} FROM lag_f", ["lag_f"], LAG_COLS)
+@case("lag_regression_features", f"SELECT host, year, {', '.join(LAG_COLS)} FROM lag_f", ["lag_f"], exact=True)
 def _lag_regression_features(spark, d):
     return lag_features(spark, d)
 

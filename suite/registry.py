@@ -26,11 +26,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
-def case(name: str, sql: str | None = None, views: Sequence[str] = (), doubles: Sequence[str] = ()):
-    """Register a query; ``doubles`` are the oracle's columns to round alike."""
+def case(name: str, sql: str | None = None, views: Sequence[str] = (), doubles: Sequence[str] = (), exact: bool = False):
+    """Register a query; ``doubles`` are the oracle's columns to round alike, ``exact``
+    compares doubles as they are."""
 
     def add(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: settle(fn(spark, folder))
+        QUERIES[name] = fn if exact else lambda spark, folder: settle(fn(spark, folder))
         if sql is not None:
             text = oracle(sql, *views)
             if doubles:

@@ -154,22 +154,43 @@ SELECT * FROM (SELECT h.*,
   lag(harvest_rate) OVER (PARTITION BY host ORDER BY year) AS harvest_rate_lag
  FROM harvest h) t WHERE harvest_rate_lag IS NOT NULL"""
 
-SQL["fin_wide"] = """
-SELECT year, host, avg(value) FILTER (metric = 'total_expenses') AS total_expenses,
- avg(value) FILTER (metric = 'expense_protection') AS expense_protection,
- avg(value) FILTER (metric = 'expense_breeding') AS expense_breeding,
- avg(value) FILTER (metric = 'expense_feeding') AS expense_feeding
+def exact_sum_sql(value: str) -> str:
+    """DuckDB: the sum from exact integer sums of whole parts and fractions (in units of 2^-62)."""
+    unit = "4611686018427387904.0"
+    whole = f"CAST(sum(CAST(trunc({value}) AS HUGEINT)) AS DOUBLE)"
+    fraction = f"CAST(sum(CAST(trunc(({value} - trunc({value})) * {unit}::DOUBLE) AS HUGEINT)) AS DOUBLE)"
+    return f"({whole} + {fraction} / {unit}::DOUBLE)"
+
+
+def exact_mean_sql(value: str) -> str:
+    return f"{exact_sum_sql(value)} / nullif(count({value}), 0)"
+
+
+def _metric(name: str) -> str:
+    return exact_mean_sql(f"CASE WHEN metric = '{name}' THEN value END")
+
+
+SQL["fin_wide"] = f"""
+SELECT year, host, {_metric('total_expenses')} AS total_expenses,
+ {_metric('expense_protection')} AS expense_protection,
+ {_metric('expense_breeding')} AS expense_breeding,
+ {_metric('expense_feeding')} AS expense_feeding
 FROM fin_raw GROUP BY year, host HAVING count(value) > 0"""
 
-SQL["lag_f"] = """
+
+def _rolling(name: str) -> str:
+    """Mean of three rows, added oldest first."""
+    back = [f"coalesce(lag({name}, {k}) OVER w, 0)" for k in (2, 1)]
+    return f"({back[0]} + {back[1]} + coalesce({name}, 0)) / nullif(count({name}) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) AS {name}"
+
+
+SQL["lag_f"] = f"""
 SELECT host, year, population_t, population_t1, total_expenses, expense_protection, expense_breeding,
  coalesce(expense_feeding, 0) AS expense_feeding, population_t1 - population_t AS delta
 FROM (SELECT p.host, p.year, p.value AS population_t,
   lead(p.value) OVER w AS population_t1, lead(p.year) OVER w AS next_year,
-  avg(total_expenses) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS total_expenses,
-  avg(expense_protection) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS expense_protection,
-  avg(expense_breeding) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS expense_breeding,
-  avg(expense_feeding) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS expense_feeding
+  {_rolling('total_expenses')}, {_rolling('expense_protection')},
+  {_rolling('expense_breeding')}, {_rolling('expense_feeding')}
  FROM (SELECT * FROM panel WHERE metric = 'count' AND species = 'SMALL') p JOIN fin_wide f ON p.year = f.year AND p.host = f.host
  WINDOW w AS (PARTITION BY p.host ORDER BY p.year)) t
 WHERE next_year - year = 1 AND population_t IS NOT NULL AND population_t1 IS NOT NULL AND total_expenses IS NOT NULL
