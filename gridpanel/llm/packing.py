@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Sequence
@@ -11,52 +12,106 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridpanel.llm.common import runs, utf8
 from gridpanel.session import materialize
 
 WINDOW = 2048
 GRAIN = 32  # lengths are planned in steps of so many tokens
 DEPTH = 4  # pieces in a planned sequence
 END_ID = 1
-_KEPT = 1_000_000  # cached ids of so many distinct words at most
-_SHORT = 64  # longer words aren't cached
-_BLANK = re.compile(r"[ \t\n\r]+")
-_STOPPED = re.compile(r"([a-z]+)([.,;:!?]+)")
-
-
-class Encoder(dict):
-    """Ids of blank-separated parts of a text, kept for parts seen before.
-
-    The vocabulary's pre-tokenizer never joins over blanks, so a text's ids are those of its
-    parts, one after the other. Missing plain ASCII parts are looked up lower-cased and
-    without their final stop, which the pre-tokenizer cuts off as well.
+_KEPT = 300_000  # parts remembered in each of two generations
+_TOGETHER = 4 << 20  # bytes of texts encoded together
+_SHORT = 64  # longer parts aren't remembered
+# letters that stay single letters when normalised and lower-cased, then signs that stay together
+_WORD = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ\u0100-\u012f\u0131-\u0148\u014a-\u017f]+)([!-&(-/:-@\[-`{-~]*)")
+_WORD_END = "</w>"
+
+
+class Encoder:
+    """Ids of a text put together from those of its blank-separated parts.
+
+    The vocabulary's pre-tokenizer never joins over blanks, and a run of letters is one
+    word to it, apart from stops after it. So a part seen before is looked up, words that
+    are new are encoded in one call for many texts and told apart by the mark of a word's last
+    piece, and only other parts are encoded one by one. Parts are remembered in two
+    generations: when the newer is full the older is forgotten, so frequent ones stay.
     """
 
     def __init__(self, vocabulary: str):  # contents of the file
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
-
-    def __missing__(self, part: str) -> list[int]:
-        low = part.lower() if part.isascii() else part
-        if low != part:
-            found = self[low]
-        elif stopped := _STOPPED.fullmatch(low):
-            found = self[stopped[1]] + self[stopped[2]]
-        else:
-            found = self.tokenizer.encode(part, add_special_tokens=False).ids
-        if len(part) <= _SHORT and len(self) < _KEPT:
-            self[part] = found
-        return found
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of ``text`` as unsigned 32-bit little-endian numbers."""
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, _BLANK.split(text))), "<u4")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith(_WORD_END)]] = True
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of several runs of letters, from one call."""
+        ids = self.encoded(" ".join(words))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return [self.encoded(w).tobytes() for w in words]
+        raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def learn(self, parts: Sequence[str]) -> None:
+        """Add parts, and the words they begin with, to ``known``."""
+        older, known, plain, split = self.older, self.known, [], []
+        for part in parts:
+            if part in older:
+                known[part] = older[part]
+            elif part.isascii() and part.isalpha():
+                if part.islower():
+                    plain.append(part)
+                else:
+                    split.append((part, part.lower(), ""))
+            elif word := _WORD.fullmatch(part):
+                split.append((part, word[1].lower(), word[2]))
+            else:
+                known[part] = self.encoded(part).tobytes()
+        stops = {stop: self.encoded(stop).tobytes() if stop else b"" for stop in {x[2] for x in split}}
+        new = [*plain, *{x[1] for x in split}.difference(plain).difference(known)]
+        known.update(zip(new, self.words(new), strict=True) if new else ())
+        known.update([(part, known[stem] + stops[stop]) for part, stem, stop in split])
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit little-endian numbers.
+
+        Equal parts of the texts are looked up once; the ids are then put together as arrays.
+        """
+        if len(self.known) > _KEPT:
+            self.older, self.known = self.known, {}
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        missing = [p for p in parts if p not in self.known]
+        if missing:
+            self.learn(missing)
+        found = [self.known[p] for p in parts]
+        for part in missing:
+            if len(part) > _SHORT:
+                del self.known[part]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        begins = np.cumsum(sizes) - sizes
+        places = np.repeat(begins[which] - ends[:-1], lengths) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[places]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -79,16 +134,19 @@ def tokens(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
 
     def run(batches):
         encoder, task, at, before = _encoder(model.value), TaskContext.get().partitionId(), 0, 0
-        seen = np.zeros(window // grain + 1, np.int64)
+        seen, closing = np.zeros(window // grain + 1, np.int64), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")
-                full, rest = divmod(len(ids), window)
-                raw = ids.tobytes()
+            texts = pc.fill_null(batch.column("text"), "")
+            _, offsets = utf8(texts)
+            encoded = chain.from_iterable(encoder.ids(texts[i:j]) for i, j in runs(offsets, _TOGETHER))
+            for ids in encoded:
+                raw = ids + closing
+                size = len(raw) // 4
+                full, rest = divmod(size, window)
                 crcs = [zlib.crc32(raw[4 * window * i : 4 * window * (i + 1)]) for i in range(full)]
                 tail, step = raw[4 * window * full :], -(-rest // grain)
-                rows.append((task, at, len(ids), before, crcs, rest, step, int(seen[step]), zlib.crc32(tail), tail))
+                rows.append((task, at, size, before, crcs, rest, step, int(seen[step]), zlib.crc32(tail), tail))
                 at, before = at + 1, before + full
                 seen[step] += 1
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]

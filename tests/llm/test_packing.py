@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridpanel.llm import packing
@@ -28,6 +29,7 @@ def ids(tokenizer, text) -> np.ndarray:
 ODD = [
     "", " ", "it's they'RE don't 'tis x'", "Hello, WORLD... (yes) .,;:!? end.", "a b c\x1cd\x0be", "éä Å ΑΣ ΟΔΟΣ.", "x1y22z 3.14",
     "日本語 text混ざる", "<|endoftext|> <|startoftext|>", "ﬁ İstanbul ẞ", "q" * 5000, "ends.\n\nline\tTab", "a.b,c!d", "'s.'s 's", "....", "‍👩‍👧",
+    "ÉTÉ*** ÀÞ!?) x(y) Ā<|b|>c [d] e'f' g'", "a\x85b\xa0c\u2003d\u3000e", "a\x1fb\xa0c \x1d.", "Été, ÇA... Œuvre! Straße; ŉ ſ ǅ", "e\u0301te a\u0308", "Ωμέγα ΣΑΣ привіт Їжак",
 ]
 
 
@@ -36,7 +38,25 @@ def test_encoder(tokenizer, text):
     with open(VOCABULARY, encoding="utf-8") as file:
         encoder = packing.Encoder(file.read())
     for _ in range(2):  # the second time from the cache
-        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(pa.array([text]))[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_generations(tokenizer, monkeypatch):
+    """Nothing changes when parts are forgotten, return from the older generation or are too long to keep."""
+    monkeypatch.setattr(packing, "_KEPT", 20)
+    monkeypatch.setattr(packing, "_SHORT", 6)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    r = np.random.default_rng(4)
+    vocabulary = [*" ".join(ODD).split(), "Straße", "ÉTÉ!", "naïve,", "ŒUVRE", "ſet", "x" * 70, *(f"Wort{chr(97 + i)}" for i in range(26))]
+    for _ in range(300):
+        text = " ".join(r.choice(vocabulary, int(r.integers(0, 12))))
+        assert np.frombuffer(encoder.ids(pa.array([text]))[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 60 and max(map(len, encoder.known), default=0) <= 70
+    texts = [" ".join(r.choice(vocabulary, 9)) for _ in range(50)]
+    whole = pa.array([*texts, "", " x ", *texts[:5]])
+    for column in (whole, whole[3:40], whole[:0]):
+        assert encoder.ids(column) == [encoder.ids(pa.array([t.as_py()]))[0] for t in column]
 
 
 def check(spark, tokenizer, texts, window, **more):
