@@ -107,7 +107,24 @@ def isolation_scores(
     drawn = tree_samples(df.select(*key, *cols), key, trees, sample, seed, rows)
     forest = grow_trees(drawn, cols, key, sample, seed).toPandas()
     packed = [t.sort_values("node")[["feature", "cut", "left", "right", "depth"]].to_numpy(float) for _, t in forest.groupby("tree")]
-    scale = float(_expected_depth(min(sample, rows)))
+    return _scored(df, cols, packed, float(_expected_depth(min(sample, rows))))
+
+
+def given_scores(df: DataFrame, cols: Sequence[str], forest: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Add ``score`` from a stored forest: a node table (tree, node, feature, cut, left, right, depth).
+
+    ``node`` counts from 0, the root, in each tree; ``feature`` numbers ``cols``, -1 marks a leaf
+    with its ``depth``; values up to ``cut`` go left. ``sample`` is the size the trees were
+    grown on. A forest grown by ``grow_trees`` can be stored and used again. Its size is that of
+    the trees, whatever the data; NULL features go right.
+    """
+    nodes = forest.toPandas()
+    packed = [t.sort_values("node")[["feature", "cut", "left", "right", "depth"]].to_numpy(float) for _, t in nodes.groupby("tree")]
+    return _scored(df, list(cols), packed, float(_expected_depth(sample)))
+
+
+def _scored(df: DataFrame, cols: Sequence[str], packed: list[np.ndarray], scale: float) -> DataFrame:
+    """``score`` from the mean depth in all trees, which are shipped to the tasks."""
     shipped = df.sparkSession.sparkContext.broadcast(packed)
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])

@@ -17,6 +17,7 @@ from gridpanel.session import materialize
 
 FEATURES = ("harvest_rate_lag", "population", "pop_trend")
 FOLDS = 5
+MAX_DEPTH = 30
 
 
 def balanced_weight(train: DataFrame, label: str) -> tuple[Column, int]:
@@ -59,9 +60,13 @@ def logit_balanced(cols: Sequence[str] = FEATURES, label: str = "label") -> Fit:
 
 
 def train_forest(
-    train: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, max_depth: int = 12, seed: int = 42
+    train: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 42
 ):
-    """Balanced random forest. Scaling is left out: splits don't depend on it."""
+    """Balanced random forest. Scaling is left out: splits don't depend on it.
+
+    Trees grow until their leaves are pure or ``max_depth`` deep; the library allows no more
+    than ``MAX_DEPTH``.
+    """
     weight, _ = balanced_weight(train, label)
     data = _vector(train, cols).withColumn("_w", weight)
     return RandomForestClassifier(

@@ -6,33 +6,28 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.operators.ranking import argmax_first
+from gridpanel.plans import centres, gram
 from gridpanel.plans.scaling import standardize
-from gridpanel.plans.validation import in_parallel
 from gridpanel.session import materialize
 
 SEED, RESTARTS, KS = 42, 10, tuple(range(2, 9))
 BLOCK = 1024
 
 
-def vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Standardised columns plus their vector, computed once for all fits."""
-    flat = standardize(df.na.fill(0.0, list(cols)), cols)
-    return materialize(VectorAssembler(inputCols=list(cols), outputCol="x").transform(flat), "vectors")
+def standardised(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Gaps filled and columns standardised, written once for all passes."""
+    return materialize(standardize(df.na.fill(0.0, list(cols)), cols), "points")
 
 
-def best_of(data: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED):
-    """Lowest-cost model among several seeds."""
-    fit = lambda s: KMeans(k=k, seed=s, featuresCol="x", predictionCol="cluster").fit(data)
-    models = in_parallel([lambda s=s: fit(s) for s in range(seed, seed + restarts)], workers=8)
-    return min(models, key=lambda m: m.summary.trainingCost)
+def vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Standardised columns plus their vector."""
+    return VectorAssembler(inputCols=list(cols), outputCol="x").transform(standardised(df, cols))
 
 
 def silhouette(df: DataFrame, key: str, cols: Sequence[str], labels: Sequence[str], block: int = BLOCK) -> DataFrame:
@@ -101,24 +96,23 @@ def kmeans_sweep(
     df: DataFrame, cols: Sequence[str], ks: Sequence[int] = KS, restarts: int = RESTARTS,
     seed: int = SEED, key: str = "host", exact: bool = True,
 ) -> DataFrame:
-    """(k, inertia, silhouette) for each k, best of several restarts."""
-    data = vectors(df, cols).persist()  # shared by all fits; rebuilt from the written table if lost
-    costs, labelled = [], data
-    for k in ks:
-        model = best_of(data, k, restarts, seed)
-        costs.append((k, float(model.summary.trainingCost)))
-        labelled = model.setPredictionCol(f"k{k}").transform(labelled)
+    """(k, inertia, silhouette) for each k, best of several restarts; all are fitted together."""
+    data = standardised(df, cols)
+    best = centres.best_per_k(data, cols, ks, restarts, seed, [key])
     spark = df.sparkSession
-    data.unpersist()
-    inertia = spark.createDataFrame(costs, "k int, inertia double")
-    names = [f"k{k}" for k in ks]
+    costs = spark.createDataFrame([(k, float(cost)) for k, (cost, _) in best.items()], "k int, inertia double")
+    near = centres.nearest_centres(data, cols, {f"k{k}": xs for k, (_, xs) in best.items()}, [key])
+    names = [f"k{k}" for k in best]
+    labels = near.groupBy(key).agg(*[F.max(F.when(F.col("set") == n, F.col("centre"))).alias(n) for n in names])
+    labelled = materialize(data.join(labels, key), "labelled")
     if exact:
         scores = silhouette(labelled, key, cols, names)
         scores = scores.select(F.substring("labels", 2, 9).cast("int").alias("k"), "silhouette")
     else:
-        rows = [(k, silhouette_squared(labelled, f"k{k}")) for k in ks]
+        flat = VectorAssembler(inputCols=list(cols), outputCol="x").transform(labelled)
+        rows = [(k, silhouette_squared(flat, f"k{k}")) for k in best]
         scores = spark.createDataFrame(rows, "k int, silhouette double")
-    return inertia.join(scores, "k")
+    return costs.join(scores, "k")
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
@@ -130,10 +124,10 @@ def assign_clusters(
     df: DataFrame, cols: Sequence[str], k: int, restarts: int = RESTARTS, seed: int = SEED, key: str = "host"
 ) -> DataFrame:
     """The entities with their original features and cluster label."""
-    data = vectors(df, cols).persist()
-    model = best_of(data, k, restarts, seed)
-    data.unpersist()
-    return df.join(model.transform(data).select(key, "cluster"), key)
+    data = standardised(df, cols)
+    best = centres.best_per_k(data, cols, [k], restarts, seed, [key])
+    label = centres.nearest_centres(data, cols, {"k": best[k][1]}, [key]).select(key, F.col("centre").alias("cluster"))
+    return df.join(label, key)
 
 
 def cluster_profile(clustered: DataFrame, cols: Sequence[str], key: str = "host", members: int = 5) -> DataFrame:
@@ -158,15 +152,32 @@ def cluster_profile(clustered: DataFrame, cols: Sequence[str], key: str = "host"
 def pca2(df: DataFrame, cols: Sequence[str], key: str = "host") -> DataFrame:
     """Two-dimensional projection with the explained share of variance, in percent.
 
-    Each axis is turned so that its largest loading is positive.
+    The products of the standardised columns are summed in one pass; the axes are the leading
+    eigenvectors of that small matrix. Each axis is turned so that its largest loading (the
+    first of equal ones) is positive.
     """
-    data = vectors(df, cols)
-    model = PCA(k=2, inputCol="x", outputCol="_pc").fit(data)
-    axes = model.pc.toArray()
-    signs = [1.0 if axes[np.abs(axes[:, i]).argmax(), i] >= 0 else -1.0 for i in (0, 1)]
-    share = [float(v) * 100 for v in model.explainedVariance.toArray()]
-    pc = vector_to_array("_pc")
-    return model.transform(data).select(
-        key, *[(pc[i] * signs[i]).alias(f"pc{i + 1}") for i in (0, 1)],
-        *[F.lit(share[i]).alias(f"explained_{i + 1}") for i in (0, 1)],
-    )
+    cols = list(cols)
+    data = standardised(df, cols)
+    row = gram.moments(data.withColumn("_all", F.lit(0)), cols, "_all").first()
+    n, k = (row["n"], len(cols)) if row else (0, len(cols))
+    if n < 1:
+        none = F.lit(None).cast("double")
+        return data.select(key, *[none.alias(c) for c in ("pc1", "pc2", "explained_1", "explained_2")])
+    products = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            products[i, j] = products[j, i] = row[f"p{i}_{j}"]
+    values, axes = np.linalg.eigh(gram.spread(n, np.array([row[f"s{i}"] for i in range(k)]), products) / n)
+    total = values.sum()
+    out = []
+    for rank in (1, 2):
+        axis = axes[:, -rank]
+        size = np.abs(axis)
+        lead = int(np.flatnonzero(size > size.max() - 1e-9)[0])
+        axis = axis if axis[lead] >= 0 else -axis
+        projected = F.lit(0.0)
+        for c, weight in zip(cols, axis, strict=True):
+            projected = projected + F.col(c) * F.lit(float(weight))
+        out.append(projected.alias(f"pc{rank}"))
+    share = [F.lit(float(values[-rank] / total * 100) if total > 0 else 0.0).alias(f"explained_{rank}") for rank in (1, 2)]
+    return data.select(key, *out, *share)

@@ -44,7 +44,11 @@ def temporal_folds(df: DataFrame, order: Sequence[str] = ("year", "host"), n: in
 
 
 def shuffled_folds(df: DataFrame, label: str, key: Sequence[str], n: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold``: stratified and shuffled by a hash of the key, hence blind to time."""
-    mixed = df.withColumn("_mix", F.xxhash64(*key, F.lit(seed)))
+    """Add ``fold``: stratified and shuffled by a hash of the key, hence blind to time.
+
+    The hash is the md5 of key and seed as text, so other engines find the same folds.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    mixed = df.withColumn("_mix", F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary")))
     placed = global_index(mixed, ["_mix", *key], by=[label], name="_pos")
     return placed.withColumn("fold", (F.col("_pos") % n).cast("int")).drop("_mix", "_pos")

@@ -22,7 +22,6 @@ from gridpanel.session import materialize
 
 LEVEL_FEATURES = ("population_t", *SPENDING)
 FOLDS = 5
-BACKGROUND = 50
 
 # Boosting parameters tuned for the first family; the second one
 # stands in where the tuned model was a small neural network.
@@ -91,16 +90,19 @@ def attribution_linear(df: DataFrame, coefficients: dict[str, float]) -> DataFra
     })
 
 
-def background_rows(df: DataFrame, cols: Sequence[str], key: Sequence[str], n: int = BACKGROUND, seed: int = 42) -> list:
-    """At most ``n`` reference rows, chosen by hash of the key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n).select(*cols).collect()
+def background_rows(df: DataFrame, cols: Sequence[str], key: Sequence[str], n: int, seed: int = 42) -> list:
+    """At most ``n`` reference rows, chosen by hash of the key (the md5 of key and seed as text)."""
+    mix = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
+    return df.orderBy(mix, *key).limit(n).select(*cols).collect()
 
 
 def attribution_coalition(
-    df: DataFrame, predict, cols: Sequence[str], key: Sequence[str] = ("host", "year"),
-    background: int = BACKGROUND, seed: int = 42,
+    df: DataFrame, predict, cols: Sequence[str], background: int, key: Sequence[str] = ("host", "year"), seed: int = 42
 ) -> DataFrame:
-    """Exact Shapley contributions against a background sample.
+    """Exact Shapley contributions against a background sample: (key..., phi_<c>..., n_background).
+
+    ``background`` is the number of reference rows and has no default: values depend on it
+    and the work grows with it. ``n_background`` tells how many there were.
 
     For each row every subset of features is taken from the row and the rest from
     each background row. The Shapley value is a weighted sum of those
@@ -132,7 +134,7 @@ def attribution_coalition(
     )
     sums = predict(mixed).groupBy(*key).agg(
         *[(F.sum(F.col(f"_w{i}") * F.col("prediction")) / len(reference)).alias(f"phi_{c}") for i, c in enumerate(cols)]
-    )
+    ).withColumn("n_background", F.lit(len(reference)))
     return sums
 
 

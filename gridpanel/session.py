@@ -46,7 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridpanel-"))
         current = spark.sparkContext.getCheckpointDir()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridpanel.plans import anomaly, classify, cluster, folds, forecast as fc, panel as P, regress
+from gridpanel.plans import anomaly, centres, classify, cluster, folds, forecast as fc, panel as P, regress
 from gridpanel.session import materialize
 from suite import views as V
 from suite.panel_cases import HOST_COLS, anomaly_features, entity_features, harvest_features, lag_features
@@ -58,6 +61,29 @@ def _isolation_scores(spark, d):
     return anomaly.isolation_scores(anomaly_features(spark, d), SCORE_COLS)
 
 
+# Two small trees over (value, change_pct, deviation), given as data.
+TREES = [
+    (0, 0, 2, -0.5, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 1.5), (0, 2, 0, 30.0, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 3.25), (0, 4, -1, 0.0, -1, -1, 2.0),
+    (1, 0, 1, 10.0, 1, 2, 0.0), (1, 1, 1, -20.0, 3, 4, 0.0), (1, 2, -1, 0.0, -1, -1, 1.0), (1, 3, -1, 0.0, -1, -1, 2.5), (1, 4, -1, 0.0, -1, -1, 4.0),
+]
+_NODES = ", ".join(f"({t}, {n}, {f}, {c}::DOUBLE, {a}, {b}, {e}::DOUBLE)" for t, n, f, c, a, b, e in TREES)
+_EXPECTED = 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256
+FOREST_SQL = f"""SELECT * FROM (WITH RECURSIVE nodes(tree, node, feature, cut, l, r, depth) AS (VALUES {_NODES}),
+walk AS (
+  SELECT a.host, a.year, n.* FROM anomaly_f a, nodes n WHERE n.node = 0
+  UNION ALL
+  SELECT w.host, w.year, n.* FROM walk w JOIN anomaly_f a ON a.host = w.host AND a.year = w.year
+   JOIN nodes n ON n.tree = w.tree AND n.node = CASE WHEN (CASE w.feature WHEN 0 THEN a.value WHEN 1 THEN a.change_pct ELSE a.deviation END) <= w.cut THEN w.l ELSE w.r END
+   WHERE w.feature >= 0)
+SELECT host, year, -power(2, -avg(depth) / {_EXPECTED!r}) AS score FROM walk WHERE feature < 0 GROUP BY 1, 2) scored"""
+
+
+@case("given_forest_scores", FOREST_SQL, ["anomaly_f"], ["score"])
+def _given_forest_scores(spark, d):
+    nodes = spark.createDataFrame(TREES, "tree int, node int, feature int, cut double, left int, right int, depth double")
+    return anomaly.given_scores(anomaly_features(spark, d), SCORE_COLS, nodes).select("host", "year", "score")
+
+
 @case("contamination_sweep")
 def _contamination_sweep(spark, d):
     scored = materialize(anomaly.isolation_scores(anomaly_features(spark, d), SCORE_COLS), "scores")
@@ -84,7 +110,12 @@ def _classified(spark, d):
     return classify.prepared(harvest_features(spark, d))
 
 
-@case("shuffled_folds")
+@case(
+    "shuffled_folds",
+    """SELECT host, year, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', host, year, '42')), host, year) - 1) % 5 AS INT) AS fold
+       FROM harvest_f""",
+    ["harvest_f"],
+)
 def _shuffled_folds(spark, d):
     return folds.shuffled_folds(_classified(spark, d), "label", ["host", "year"]).select("host", "year", "label", "fold")
 
@@ -204,7 +235,22 @@ def _delta_scaled(spark, d):
 def _attribution_coalition(spark, d):
     rows = _regressed(spark, d)
     predict, _ = regress.train_model("scaled_boosted", rows, P.SPENDING, "delta")
-    return regress.attribution_coalition(rows, predict, P.SPENDING)
+    return regress.attribution_coalition(rows, predict, P.SPENDING, background=50).drop("n_background")
+
+
+# a linear predictor: contributions are coefficient times distance from the background's mean
+LINE = dict(zip(P.SPENDING, (0.002, -0.01, 0.03, -0.0005), strict=True))
+COALITION_SQL = f"""WITH b AS (SELECT * FROM lag_f ORDER BY md5(concat_ws('|', host, year, '42')), host, year LIMIT 20)
+SELECT host, year, {', '.join(f"{w} * ({c} - (SELECT avg({c}) FROM b)) AS phi_{c}" for c, w in LINE.items())},
+ CAST((SELECT count(*) FROM b) AS INT) AS n_background FROM lag_f"""
+
+
+@case("attribution_coalition_line", COALITION_SQL, ["lag_f"], [f"phi_{c}" for c in LINE])
+def _attribution_coalition_line(spark, d):
+    value = F.lit(5.0)
+    for c, w in LINE.items():
+        value = value + F.col(c) * w
+    return regress.attribution_coalition(_regressed(spark, d), lambda rows: rows.withColumn("prediction", value), list(LINE), background=20)
 
 
 IMPACT = " UNION ALL ".join(
@@ -254,6 +300,34 @@ def _kmeans_sweep(spark, d):
     return cluster.kmeans_sweep(_hosts(spark, d), HOST_COLS)
 
 
+# Given sets of centres over the standardised features.
+GIVEN_CENTRES = {
+    "two": [[0.5, 0.2, -0.1, 0.3, 0.0, 0.4], [-0.6, -0.3, 0.2, -0.5, 0.1, -0.2]],
+    "three": [[1.0, 0.0, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, -1.0, 0.5, 0.0], [0.0, 0.0, -1.0, 0.5, 0.0, 1.0]],
+}
+_SETS = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"set\", {i} AS centre, z.host, {' + '.join(f'(z.{c} - ({v})) ^ 2' for c, v in zip(HOST_COLS, xs, strict=True))} AS dist FROM z"
+    for name, sets in GIVEN_CENTRES.items()
+    for i, xs in enumerate(sets)
+)
+NEAREST_SQL = f"""WITH z AS (SELECT host, {STD} FROM host_f), far AS ({_SETS})
+SELECT host, "set", CAST(min_by(centre, dist) AS INT) AS centre, min(dist) AS dist FROM far GROUP BY 1, 2"""
+
+
+def _centres():
+    return {name: np.array(sets) for name, sets in GIVEN_CENTRES.items()}
+
+
+@case("nearest_centres", NEAREST_SQL, ["host_f"], ["dist"])
+def _nearest_centres(spark, d):
+    return centres.nearest_centres(cluster.standardised(_hosts(spark, d), HOST_COLS), HOST_COLS, _centres())
+
+
+@case("centre_inertia", f'SELECT "set", sum(dist) AS inertia, count(*) AS n FROM ({NEAREST_SQL}) q GROUP BY 1', ["host_f"], ["inertia"])
+def _centre_inertia(spark, d):
+    return centres.inertia(cluster.standardised(_hosts(spark, d), HOST_COLS), HOST_COLS, _centres())
+
+
 @case("assign_clusters")
 def _assign_clusters(spark, d):
     return cluster.assign_clusters(_hosts(spark, d), HOST_COLS, 3)
@@ -268,6 +342,49 @@ def _cluster_profile(spark, d):
     return cluster.cluster_profile(_given(spark, d).withColumnRenamed("g", "cluster"), ["mean_small", "expenses"])
 
 
+# the eigenvectors of [[1, r], [r, 1]] are the diagonals
+PCA_TWO_SQL = f"""WITH z AS (SELECT host, {STD} FROM host_f), m AS (SELECT corr(mean_small, expenses) AS r FROM z)
+SELECT host, (mean_small + CASE WHEN r >= 0 THEN expenses ELSE -expenses END) / sqrt(2) AS pc1,
+ (mean_small - CASE WHEN r >= 0 THEN expenses ELSE -expenses END) / sqrt(2) AS pc2,
+ 50 * (1 + abs(r)) AS explained_1, 50 * (1 - abs(r)) AS explained_2 FROM z, m"""
+
+# three columns: eigenvalues by angles, an eigenvector as the cross product of two rows
+_TRIO = ("mean_small", "mean_large", "expenses")
+
+
+def _axis(k: int) -> str:
+    ev = f"l{k}"
+    rows = [(f"1 - {ev}", "ab", "ac"), ("ab", f"1 - {ev}", "bc")]
+    (a, b, c), (d, e, f) = rows
+    x, y, z = f"({b}) * ({f}) - ({c}) * ({e})", f"({c}) * ({d}) - ({a}) * ({f})", f"({a}) * ({e}) - ({b}) * ({d})"
+    return f"{x} AS x{k}, {y} AS y{k}, {z} AS z{k}"
+
+
+def _projected(k: int) -> str:
+    lead = f"CASE WHEN abs(x{k}) >= abs(y{k}) AND abs(x{k}) >= abs(z{k}) THEN x{k} WHEN abs(y{k}) >= abs(z{k}) THEN y{k} ELSE z{k} END"
+    return f"sign({lead}) * (x{k} * {_TRIO[0]} + y{k} * {_TRIO[1]} + z{k} * {_TRIO[2]}) / sqrt(x{k} ^ 2 + y{k} ^ 2 + z{k} ^ 2) AS pc{k}"
+
+
+PCA_THREE_SQL = f"""WITH z AS (SELECT host, {STD} FROM host_f),
+m AS (SELECT avg({_TRIO[0]} * {_TRIO[1]}) AS ab, avg({_TRIO[0]} * {_TRIO[2]}) AS ac, avg({_TRIO[1]} * {_TRIO[2]}) AS bc FROM z),
+p AS (SELECT *, sqrt((ab ^ 2 + ac ^ 2 + bc ^ 2) / 3) AS p FROM m),
+t AS (SELECT *, acos(greatest(-1, least(1, ab * ac * bc / p ^ 3))) / 3 AS t FROM p),
+l AS (SELECT *, 1 + 2 * p * cos(t) AS l1, 1 + 2 * p * cos(t + 4 * pi() / 3) AS l2 FROM t),
+v AS (SELECT *, {_axis(1)}, {_axis(2)} FROM l)
+SELECT host, {_projected(1)}, {_projected(2)}, l1 / 3 * 100 AS explained_1, l2 / 3 * 100 AS explained_2 FROM z, v"""
+PCA_COLS = ["pc1", "pc2", "explained_1", "explained_2"]
+
+
+@case("pca2_two_columns", PCA_TWO_SQL, ["host_f"], PCA_COLS)
+def _pca2_two(spark, d):
+    return cluster.pca2(_hosts(spark, d).select("host", "mean_small", "expenses"), ["mean_small", "expenses"])
+
+
+@case("pca2_three_columns", PCA_THREE_SQL, ["host_f"], PCA_COLS)
+def _pca2_three(spark, d):
+    return cluster.pca2(_hosts(spark, d).select("host", *_TRIO), _TRIO)
+
+
 @case("pca2")
 def _pca2(spark, d):
     return cluster.pca2(_hosts(spark, d), HOST_COLS)
