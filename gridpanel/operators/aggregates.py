@@ -21,14 +21,14 @@ def dedupe(df: DataFrame, keys: Sequence[str] = ("year", "host"), how: str = "me
     return df.groupBy(*keys).agg(agg(F.col("value")).alias("value"))
 
 
-def yearly_sum(df: DataFrame) -> DataFrame:
-    """Total per year; a year of nulls only totals 0."""
-    return df.groupBy("year").agg(F.coalesce(exact_sum(F.col("value")), F.lit(0.0)).alias("total"))
+def yearly_sum(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Total per year (and ``by``); a year of nulls only totals 0."""
+    return df.groupBy(*by, "year").agg(F.coalesce(exact_sum(F.col("value")), F.lit(0.0)).alias("total"))
 
 
-def mean_of_sums(df: DataFrame) -> DataFrame:
-    """Mean per (year, host), summed per year, averaged over the years."""
-    return yearly_sum(dedupe(df)).agg(F.avg("total").alias("mean_total"))
+def mean_of_sums(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean per (year, host), summed per year, averaged over the years; for each ``by``."""
+    return yearly_sum(dedupe(df, [*by, "year", "host"]), by).groupBy(*by).agg(F.avg("total").alias("mean_total"))
 
 
 def distinct_years(df: DataFrame) -> DataFrame:
@@ -53,19 +53,19 @@ def slope(value: Column, year: Column, min_points: int = 3) -> Column:
     return F.when(points >= min_points, F.coalesce(F.regr_slope(value, year), F.lit(0.0))).otherwise(0.0)
 
 
-def ols_slope(df: DataFrame, min_points: int = 3) -> DataFrame:
-    """Trend and intercept per host over deduplicated years."""
+def ols_slope(df: DataFrame, min_points: int = 3, series: Sequence[str] = ("host",)) -> DataFrame:
+    """Trend and intercept per series over deduplicated years."""
     year = F.col("year").cast("double")
-    return df.groupBy("host").agg(
+    return df.groupBy(*series).agg(
         slope(F.col("value"), year, min_points).alias("slope"),
         F.regr_intercept(F.col("value"), year).alias("intercept"),
         F.count("value").alias("n"),
     )
 
 
-def mean_std(df: DataFrame) -> DataFrame:
-    """Mean and sample standard deviation per host."""
-    return df.groupBy("host").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+def mean_std(df: DataFrame, series: Sequence[str] = ("host",)) -> DataFrame:
+    """Mean and sample standard deviation per series."""
+    return df.groupBy(*series).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -86,9 +86,9 @@ def mean_of_present(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.avg(col).alias("mean"), F.count(col).alias("n"))
 
 
-def fold_mean_std(df: DataFrame, score: str = "score") -> DataFrame:
-    """Mean and population standard deviation over folds."""
-    return df.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("folds"))
+def fold_mean_std(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """Mean and population standard deviation over folds, for each ``by``."""
+    return df.groupBy(*by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("folds"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -28,9 +28,9 @@ def join_dim(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inn
     return fact.join(pin(dim, "dimension"), list(on), how)
 
 
-def same_period(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner equi-join of two frames with one row per (year, host)."""
-    return left.join(right, ["year", "host"], "inner")
+def same_period(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Inner equi-join of two frames on (year, host) and ``by``."""
+    return left.join(right, ["year", "host", *by], "inner")
 
 
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -12,17 +12,17 @@ def distinct_entities(df: DataFrame, col: str = "host") -> DataFrame:
     return df.select(col).distinct()
 
 
-def reporting_in(df: DataFrame, year: int) -> DataFrame:
-    """Hosts with a value in a year."""
-    return df.filter((F.col("year") == year) & F.col("value").isNotNull()).select("host").distinct()
+def reporting_in(df: DataFrame, year: int, series: Sequence[str] = ("host",)) -> DataFrame:
+    """Series with a value in a year."""
+    return df.filter((F.col("year") == year) & F.col("value").isNotNull()).select(*series).distinct()
 
 
-def intersect_entities(df: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Hosts reporting in every one of the years."""
-    hosts = reporting_in(df, years[0])
+def intersect_entities(df: DataFrame, years: Sequence[int], series: Sequence[str] = ("host",)) -> DataFrame:
+    """Series reporting in every one of the years."""
+    found = reporting_in(df, years[0], series)
     for year in years[1:]:
-        hosts = hosts.intersect(reporting_in(df, year))
-    return hosts
+        found = found.intersect(reporting_in(df, year, series))
+    return found
 
 
 def overlap_pct(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("host", "year")) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridpanel import schemas
+from gridpanel.sources.facts import write_table
 
 
 def scan_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -17,4 +18,9 @@ def scan_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    cells.write.mode("overwrite").partitionBy("period").parquet(path)
+    """Write cells by period, sorted by file, sheet and row.
+
+    A file's sheets lie together, so scans of one sheet or of header rows skip the rest, and
+    the number of files is bounded by periods plus the size of the data.
+    """
+    write_table(cells, path, partition_by=["period"], order=["file_id", "sheet", "r", "c"])

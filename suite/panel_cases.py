@@ -21,8 +21,16 @@ TRIO = ("SMALL", "LARGE", "PROMO")
 SMALL = "SELECT * FROM panel WHERE metric = 'count' AND species = 'SMALL'"
 
 
-def small(spark, d, metric: str = "count"):
-    return filter_panel(V.panel(spark, d), metric, SPECIES)
+# a whole panel is analysed at once: every host's every species and metric is a series
+SERIES = ["host", "species", "metric"]
+KINDS = ["species", "metric"]
+OF_SERIES = "(PARTITION BY host, species, metric ORDER BY year)"
+
+
+def of_metric(spark, d, metric: str):
+    """One metric of all species, one row per (year, host, species)."""
+    panel = V.panel(spark, d).filter(F.col("metric") == metric)
+    return A.dedupe(panel, ["year", "host", "species"])
 
 
 def stored_species(spark, d):
@@ -44,40 +52,43 @@ def lag_features(spark, d):
 
 @case(
     "join_pop_harvest",
-    """SELECT p.year, p.host, p.value AS population, h.value AS shot_heads FROM panel p JOIN panel h ON p.year = h.year AND p.host = h.host
-       WHERE p.metric = 'count' AND p.species = 'SMALL' AND h.metric = 'shot_heads' AND h.species = 'SMALL'""",
+    """SELECT p.year, p.host, p.species, p.value AS population, h.value AS shot_heads
+       FROM panel p JOIN panel h ON p.year = h.year AND p.host = h.host AND p.species = h.species
+       WHERE p.metric = 'count' AND h.metric = 'shot_heads'""",
     ["panel"],
     ["population", "shot_heads"],
 )
 def _join_pop_harvest(spark, d):
-    pop = A.dedupe(small(spark, d)).withColumnRenamed("value", "population")
-    shot = A.dedupe(small(spark, d, "shot_heads")).withColumnRenamed("value", "shot_heads")
-    return joins.same_period(pop, shot)
+    pop = of_metric(spark, d, "count").withColumnRenamed("value", "population")
+    shot = of_metric(spark, d, "shot_heads").withColumnRenamed("value", "shot_heads")
+    return joins.same_period(pop, shot, ["species"])
 
 
 @case(
     "join_pop_finance",
-    f"SELECT p.year, p.host, p.value AS population, f.total_expenses FROM ({SMALL}) p JOIN fin_wide f ON p.year = f.year AND p.host = f.host",
+    """SELECT p.year, p.host, p.species, p.value AS population, f.total_expenses
+       FROM panel p JOIN fin_wide f ON p.year = f.year AND p.host = f.host WHERE p.metric = 'count'""",
     ["panel", "fin_wide"],
     ["population", "total_expenses"],
 )
 def _join_pop_finance(spark, d):
-    pop = A.dedupe(small(spark, d)).withColumnRenamed("value", "population")
+    pop = of_metric(spark, d, "count").withColumnRenamed("value", "population")
     fin = pivot_metrics(V.fin_raw(spark, d), ["year", "host"], [*P.SPENDING, "gov_funding"]).drop("gov_funding")
-    return joins.same_period(pop, fin).select("year", "host", "population", "total_expenses")
+    return joins.same_period(pop, fin).select("year", "host", "species", "population", "total_expenses")
 
 
 @case(
     "join_trend",
-    f"""SELECT s.year, s.host, s.value, t.slope FROM ({SMALL}) s LEFT JOIN (SELECT host, CASE WHEN count(value) >= 3 THEN regr_slope(value, year) ELSE 0 END AS slope
-        FROM ({SMALL}) x GROUP BY host HAVING count(value) >= 5) t ON s.host = t.host""",
+    """SELECT s.year, s.host, s.species, s.metric, s.value, t.slope FROM panel s
+       LEFT JOIN (SELECT host, species, metric, CASE WHEN count(value) >= 3 THEN regr_slope(value, year) ELSE 0 END AS slope
+        FROM panel x GROUP BY ALL HAVING count(value) >= 5) t ON s.host = t.host AND s.species = t.species AND s.metric = t.metric""",
     ["panel"],
     ["value", "slope"],
 )
 def _join_trend(spark, d):
-    rows = A.dedupe(small(spark, d))
-    trend = A.ols_slope(rows).filter("n >= 5").select("host", "slope")
-    return joins.attach(rows, trend, ["host"]).select("year", "host", "value", "slope")
+    rows = A.dedupe(V.panel(spark, d), ["year", *SERIES])
+    trend = A.ols_slope(rows, series=SERIES).filter("n >= 5").select(*SERIES, "slope")
+    return joins.attach(rows, trend, SERIES).select("year", *SERIES, "value", "slope")
 
 
 @case(
@@ -127,12 +138,13 @@ def _range_section(spark, d):
 
 @case(
     "self_prior_period",
-    f"SELECT a.host, a.year, a.value, b.value AS before FROM ({SMALL}) a LEFT JOIN ({SMALL}) b ON a.host = b.host AND b.year = a.year - 1",
+    """SELECT a.host, a.species, a.metric, a.year, a.value, b.value AS before FROM panel a
+       LEFT JOIN panel b ON a.host = b.host AND a.species = b.species AND a.metric = b.metric AND b.year = a.year - 1""",
     ["panel"],
     ["value", "before"],
 )
 def _self_prior_period(spark, d):
-    return small(spark, d).select("host", "year", "value", windows.previous_year(F.col("value")).alias("before"))
+    return V.panel(spark, d).select(*SERIES, "year", "value", windows.previous_year(F.col("value"), SERIES).alias("before"))
 
 
 # --- aggregates --------------------------------------------------------------------
@@ -140,13 +152,13 @@ def _self_prior_period(spark, d):
 
 @case(
     "dedupe_mean",
-    "SELECT f.year, m.host_canonical AS host, avg(f.value) AS value FROM facts_raw f JOIN host_map m ON f.host = m.host_raw WHERE m.host_canonical <> 'SKIP' AND f.metric = 'count' AND f.species = 'SMALL' GROUP BY 1, 2",
-    ["facts_raw", "host_map"],
+    "SELECT year, host, species, metric, value FROM panel",
+    ["panel"],
     ["value"],
 )
 def _dedupe_mean(spark, d):
-    known = drop_unresolved(resolve_entity(filter_panel(V.facts_raw(spark, d), "count", SPECIES), V.host_map(spark, d)), SKIP)
-    return A.dedupe(known.select("year", F.col("host_canonical").alias("host"), "value"))
+    known = drop_unresolved(resolve_entity(V.facts_raw(spark, d), V.host_map(spark, d)), SKIP)
+    return A.dedupe(known.select("year", F.col("host_canonical").alias("host"), *KINDS, "value"), ["year", *SERIES])
 
 
 @case(
@@ -159,19 +171,20 @@ def _metric_mean(spark, d):
     return A.dedupe(V.fin_raw(spark, d), ["year", "host", "metric"])
 
 
-@case("yearly_sum", f"SELECT year, coalesce(sum(value), 0) AS total FROM ({SMALL}) s GROUP BY 1", ["panel"], ["total"])
+@case("yearly_sum", "SELECT species, metric, year, coalesce(sum(value), 0) AS total FROM panel GROUP BY ALL", ["panel"], ["total"])
 def _yearly_sum(spark, d):
-    return A.yearly_sum(small(spark, d))
+    return A.yearly_sum(V.panel(spark, d), KINDS)
 
 
 @case(
     "mean_of_sums",
-    f"SELECT avg(t) AS mean_total FROM (SELECT year, sum(v) AS t FROM (SELECT year, host, avg(value) AS v FROM ({SMALL}) s GROUP BY 1, 2) x GROUP BY 1) y",
+    """SELECT species, metric, avg(t) AS mean_total FROM (SELECT species, metric, year, coalesce(sum(v), 0) AS t
+       FROM (SELECT species, metric, year, host, avg(value) AS v FROM panel GROUP BY ALL) x GROUP BY ALL) y GROUP BY ALL""",
     ["panel"],
     ["mean_total"],
 )
 def _mean_of_sums(spark, d):
-    return A.mean_of_sums(small(spark, d))
+    return A.mean_of_sums(V.panel(spark, d), KINDS)
 
 
 @case("distinct_years", "SELECT host, count(DISTINCT year) AS n_years FROM facts_raw GROUP BY 1", ["facts_raw"])
@@ -201,13 +214,13 @@ def _cond_means(spark, d):
 
 @case(
     "ols_slope",
-    f"""SELECT host, CASE WHEN count(value) >= 3 THEN coalesce(regr_slope(value, year), 0) ELSE 0 END AS slope,
-        regr_intercept(value, year) AS intercept, count(value) AS n FROM ({SMALL}) s GROUP BY host""",
+    """SELECT host, species, metric, CASE WHEN count(value) >= 3 THEN coalesce(regr_slope(value, year), 0) ELSE 0 END AS slope,
+        regr_intercept(value, year) AS intercept, count(value) AS n FROM panel GROUP BY ALL""",
     ["panel"],
     ["slope", "intercept"],
 )
 def _ols_slope(spark, d):
-    return A.ols_slope(small(spark, d))
+    return A.ols_slope(V.panel(spark, d), series=SERIES)
 
 
 MEDIANS = " UNION ALL ".join(
@@ -220,9 +233,9 @@ def _median_split(spark, d):
     return A.median_split(lag_features(spark, d), P.SPENDING, F.col("delta") >= 0)
 
 
-@case("mean_std", f"SELECT host, avg(value) AS mean, stddev_samp(value) AS std FROM ({SMALL}) s GROUP BY host", ["panel"], ["mean", "std"])
+@case("mean_std", "SELECT host, species, metric, avg(value) AS mean, stddev_samp(value) AS std FROM panel GROUP BY ALL", ["panel"], ["mean", "std"])
 def _mean_std(spark, d):
-    return A.mean_std(small(spark, d))
+    return A.mean_std(V.panel(spark, d), SERIES)
 
 
 @case("value_counts", "SELECT host, count(*) AS n FROM facts_raw GROUP BY host", ["facts_raw"])
@@ -258,12 +271,13 @@ def _mae_summary(spark, d):
 
 @case(
     "fold_mean_std",
-    f"SELECT avg(s) AS mean, stddev_pop(s) AS std, count(s) AS folds FROM (SELECT year, avg(value) AS s FROM ({SMALL}) x GROUP BY year) q",
+    """SELECT species, metric, avg(s) AS mean, stddev_pop(s) AS std, count(s) AS folds
+       FROM (SELECT species, metric, year, avg(value) AS s FROM panel GROUP BY ALL) q GROUP BY ALL""",
     ["panel"],
     ["mean", "std"],
 )
 def _fold_mean_std(spark, d):
-    return A.fold_mean_std(small(spark, d).groupBy("year").agg(F.avg("value").alias("score")))
+    return A.fold_mean_std(V.panel(spark, d).groupBy(*KINDS, "year").agg(F.avg("value").alias("score")), by=KINDS)
 
 
 @case(
@@ -291,35 +305,35 @@ def _percentile_cut(spark, d):
 
 
 def windowed(name: str, sql_expr: str, column, doubles=("value", "x")):
-    @case(name, f"SELECT host, year, value, {sql_expr} AS x FROM ({SMALL}) s WINDOW w AS (PARTITION BY host ORDER BY year)", ["panel"], doubles)
+    @case(name, f"SELECT host, species, metric, year, value, {sql_expr} AS x FROM panel WINDOW w AS {OF_SERIES}", ["panel"], doubles)
     def _query(spark, d):
-        return small(spark, d).select("host", "year", "value", column().alias("x"))
+        return V.panel(spark, d).select(*SERIES, "year", "value", column().alias("x"))
 
 
 value = lambda: F.col("value")
-windowed("lag_feature", "lag(value) OVER w", lambda: windows.previous_row(value()))
-windowed("rolling_mean3", "avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", lambda: windows.rolling_mean3(value()))
+windowed("lag_feature", "lag(value) OVER w", lambda: windows.previous_row(value(), SERIES))
+windowed("rolling_mean3", "avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", lambda: windows.rolling_mean3(value(), SERIES))
 windowed(
     "pct_change_calendar",
     "CASE WHEN lag(year) OVER w = year - 1 THEN (value - lag(value) OVER w) / nullif(lag(value) OVER w, 0) * 100 END",
-    lambda: windows.change_pct(value()),
+    lambda: windows.change_pct(value(), SERIES),
 )
 windowed(
     "zscore_entity",
-    "CASE WHEN stddev_samp(value) OVER (PARTITION BY host) > 0 THEN (value - avg(value) OVER (PARTITION BY host)) / stddev_samp(value) OVER (PARTITION BY host) ELSE 0 END",
-    lambda: windows.zscore(value()),
+    "CASE WHEN stddev_samp(value) OVER (PARTITION BY host, species, metric) > 0 THEN (value - avg(value) OVER (PARTITION BY host, species, metric)) / stddev_samp(value) OVER (PARTITION BY host, species, metric) ELSE 0 END",
+    lambda: windows.zscore(value(), SERIES),
 )
 
 
 @case(
     "next_consecutive",
-    f"""SELECT host, year, value, ahead FROM (SELECT host, year, value, lead(value) OVER w AS ahead, lead(year) OVER w AS ny
-        FROM ({SMALL}) s WINDOW w AS (PARTITION BY host ORDER BY year)) q WHERE ny - year = 1""",
+    f"""SELECT host, species, metric, year, value, ahead FROM (SELECT *, lead(value) OVER w AS ahead, lead(year) OVER w AS ny
+        FROM panel WINDOW w AS {OF_SERIES}) q WHERE ny - year = 1""",
     ["panel"],
     ["value", "ahead"],
 )
 def _next_consecutive(spark, d):
-    return windows.next_consecutive(small(spark, d).select("host", "year", "value"), "value", "ahead")
+    return windows.next_consecutive(V.panel(spark, d).select(*SERIES, "year", "value"), "value", "ahead", SERIES)
 
 
 @case(
@@ -335,14 +349,14 @@ def _time_order_index(spark, d):
 # --- sorts and top-k ---------------------------------------------------------------
 
 
-@case("sort_multi", f"{SMALL} ORDER BY host, year", ["panel"], ["value"])
+@case("sort_multi", "SELECT * FROM panel ORDER BY host, year, species, metric", ["panel"], ["value"])
 def _sort_multi(spark, d):
-    return ranking.sort_multi(small(spark, d), ["host", "year"])
+    return ranking.sort_multi(V.panel(spark, d), ["host", "year", *KINDS])
 
 
-@case("sort_nulls_last", f"{SMALL} ORDER BY value NULLS LAST, host", ["panel"], ["value"])
+@case("sort_nulls_last", "SELECT * FROM panel ORDER BY value NULLS LAST, host", ["panel"], ["value"])
 def _sort_nulls_last(spark, d):
-    return ranking.sort_nulls_last(small(spark, d), "value", "host")
+    return ranking.sort_nulls_last(V.panel(spark, d), "value", "host")
 
 
 @case(
@@ -367,11 +381,11 @@ def _topk_entities(spark, d):
 
 @case(
     "argmax_k",
-    f"SELECT min(year) AS year FROM (SELECT year, count(*) AS n, max(count(*)) OVER () AS top FROM ({SMALL}) s GROUP BY year) q WHERE n = top",
+    "SELECT min(year) AS year FROM (SELECT year, count(*) AS n, max(count(*)) OVER () AS top FROM panel GROUP BY year) q WHERE n = top",
     ["panel"],
 )
 def _argmax_k(spark, d):
-    return ranking.argmax_first(small(spark, d).groupBy("year").agg(F.count(F.lit(1)).alias("n")), "year", "n")
+    return ranking.argmax_first(V.panel(spark, d).groupBy("year").agg(F.count(F.lit(1)).alias("n")), "year", "n")
 
 
 @case(
@@ -395,11 +409,12 @@ def _union_all(spark, d):
 
 @case(
     "intersect_entities",
-    f"SELECT host FROM ({SMALL}) a WHERE year = 1998 AND value IS NOT NULL INTERSECT SELECT host FROM ({SMALL}) b WHERE year = 2000 AND value IS NOT NULL",
+    """SELECT host, species, metric FROM panel a WHERE year = 1998 AND value IS NOT NULL
+       INTERSECT SELECT host, species, metric FROM panel b WHERE year = 2000 AND value IS NOT NULL""",
     ["panel"],
 )
 def _intersect_entities(spark, d):
-    return sets.intersect_entities(small(spark, d), [1998, 2000])
+    return sets.intersect_entities(V.panel(spark, d), [1998, 2000], SERIES)
 
 
 @case("distinct_entities", "SELECT DISTINCT host FROM facts_raw", ["facts_raw"])

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import glob
 import os
 
+import pyarrow.parquet as pq
 import pytest
 
 from gridpanel import schemas
 from gridpanel.operators import resolve
 from gridpanel.session import materialize, shared_folder, shared_path
+from gridpanel.sources import cells as C
 from gridpanel.sources import facts as S
 from gridpanel.streaming.arrivals import append_final, arriving_facts
 from tests.grids import rows_of
@@ -124,6 +127,49 @@ def test_partitioned_write_prunes(spark):
     assert "PartitionFilters: [isnotnull(year" in plan and back.filter("year = 2001").count() == 1
 
 
+def test_files_follow_from_the_size_not_from_tasks(spark):
+    """Cells in many tasks and periods: few files, and ranges that don't overlap within a period."""
+    rows = [(f"F{y}{f}", y, s, 0, r, c, f"{r}") for y in range(2000, 2008) for f in "ab" for s in ("S", "T") for r in range(40) for c in range(3)]
+    cells = spark.createDataFrame(rows, schemas.CELLS).repartition(13)
+    path = shared_path(spark, "cells")
+    C.write_cells(cells, path)
+    files = sorted(glob.glob(f"{path}/period=*/*.parquet"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 8 <= len(files) <= 8 + partitions
+    back = C.scan_cells(spark, path)
+    assert back.count() == len(rows) and back.exceptAll(cells.select(back.columns)).count() == 0
+    spans = {}
+    for name in files:
+        table = pq.read_table(name, columns=["file_id", "sheet", "r", "c"]).to_pylist()
+        keys = [tuple(x.values()) for x in table]
+        assert keys == sorted(keys)
+        spans.setdefault(os.path.dirname(name), []).append((keys[0], keys[-1]))
+    for own in spans.values():
+        own.sort()
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+
+
+def test_row_groups_of_other_sheets_are_skipped(spark):
+    rows = [(f"F{f:03}", 2000, "S", 0, r, 0, "x" * 50) for f in range(200) for r in range(200)]
+    path = shared_path(spark, "cells")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "65536")
+    try:
+        C.write_cells(spark.createDataFrame(rows, schemas.CELLS).repartition(6), path)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    hit = total = 0
+    for name in glob.glob(f"{path}/period=*/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        column = meta.schema.names.index("file_id")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(column).statistics
+            total += 1
+            hit += stats.min <= "F100" <= stats.max
+    assert total >= 4 and hit <= 2
+    one = C.scan_cells(spark, path).filter("file_id = 'F100'")
+    assert "EqualTo(file_id,F100)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 200
+
+
 def test_materialized_frames_keep_their_rows(spark):
     assert rows_of(materialize(small(spark)), "year", "value") == rows_of(small(spark), "year", "value")
     assert shared_folder(spark) == shared_folder(spark)
