@@ -210,6 +210,11 @@ DAMAGES = [
 def test_missing_parts_are_named(spark, damage, want):
     grid = late_cells(spark, **damage)
     assert {(r.file_id, r.period, r.part) for r in ingest.missing_parts(grid, "late").collect()} == {("n", 2022, p) for p in want}
+
+
+@pytest.mark.parametrize(("damage", "want"), [DAMAGES[0], DAMAGES[1], DAMAGES[6]])
+def test_missing_parts_stop_the_ingest(spark, damage, want):
+    grid = late_cells(spark, **damage)
     if not want:
         assert fact_rows(ingest.ingest_late(grid)["populations"]) == WANT_COUNTS
         return
