@@ -86,6 +86,12 @@ def word_counts(
     return keyed.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
+def _letters_of(word: Column) -> Column:
+    """A word's letters as bits (several letters may share one): one edit changes at most two."""
+    codes = F.transform(F.split(word, ""), lambda x: F.pmod(F.ascii(x), F.lit(64)))
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x)))
+
+
 def _chunks(words: DataFrame) -> DataFrame:
     """The two disjoint chunks of each word: its first half and the rest."""
     size, half = F.char_length("word"), F.shiftright(F.char_length("word"), 1)
@@ -93,7 +99,7 @@ def _chunks(words: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("part"), F.left("word", half).alias("gram")),
         F.struct(F.lit(2).alias("part"), F.right("word", size - half).alias("gram")),
     )
-    return words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), size.alias("size"), F.inline(both))
+    return words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), size.alias("size"), F.inline(both))
 
 
 def _grams(words: DataFrame) -> DataFrame:
@@ -111,7 +117,7 @@ def _grams(words: DataFrame) -> DataFrame:
             F.struct(size.alias("size"), F.lit(1).alias("part"), F.left("word", half).alias("gram")),
             F.struct(size.alias("size"), F.lit(2).alias("part"), F.right("word", size - half).alias("gram")),
         ]
-    return words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.inline(F.array(*at)))
+    return words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.inline(F.array(*at)))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -120,14 +126,17 @@ def near_words(words: DataFrame) -> DataFrame:
     One inserted, deleted or replaced code point leaves one of the shorter word's two
     chunks whole (of the smaller one's, if equally long), and the longer word has it as a
     gram within shift one. Chunks meet grams in one join on (length, part, gram), whose
-    large keys AQE splits; a pair that shares both chunks counts with the first. Then
-    every pair is verified.
+    large keys AQE splits; a pair that shares both chunks counts with the first. Pairs whose
+    sets of letters differ by more than an edit can change are dropped unread, the others
+    verified.
     """
+    words = materialize(words.withColumn("bits", _letters_of(F.col("word"))), "lettered")
     half = F.shiftright(F.char_length("a"), 1)
     first = F.left("a", half) == F.left("b", half)
     once = (F.col("part") == 1) | ~first
     longer = (F.char_length("b") > F.col("size")) | (F.col("a") < F.col("b"))
-    met = _chunks(words).join(_grams(words), ["size", "part", "gram"]).where(longer & once)
+    like = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2
+    met = _chunks(words).join(_grams(words), ["size", "part", "gram"]).where(like & longer & once)
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b", "a_n", "b_n")
 
 
