@@ -62,17 +62,18 @@ def grid_rows(
     by block of rows, and the same exchange serves ``carry_forward``.
     """
     wanted = cells.filter(F.col("c").isin(list(columns))).select(*SHEET, "period", "c", "v", "r")
-    ups = F.array(F.lit(0))
     if lookahead:
-        ups = F.when(F.col("c").isin(list(lookahead)), F.array(F.lit(0), F.lit(1))).otherwise(ups)
-    wanted = wanted.withColumn("_up", F.explode(ups)).withColumn("r", F.col("r") - F.col("_up"))
+        ups = F.when(F.col("c").isin(list(lookahead)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        wanted = wanted.withColumn("_up", F.explode(ups)).withColumn("r", F.col("r") - F.col("_up"))
     keys = [*SHEET, "period", "r"]
     if block_rows:
         wanted = wanted.withColumn("_blk", F.floor(F.col("r") / block_rows)).repartition(*SHEET, "_blk")
         keys.append("_blk")
+    if not lookahead:
+        return wanted.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in columns.items()])
     at = lambda c, up: F.max(F.when((F.col("c") == c) & (F.col("_up") == up), F.col("v")))
     aggs = [at(c, 0).alias(name) for c, name in columns.items()]
-    aggs += [at(c, 1).alias(name) for c, name in (lookahead or {}).items()]
+    aggs += [at(c, 1).alias(name) for c, name in lookahead.items()]
     rows = wanted.groupBy(*keys).agg(*aggs, F.max(F.when(F.col("_up") == 0, F.lit(True))).alias("_own"))
     return rows.filter("_own").drop("_own")
 
