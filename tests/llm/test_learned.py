@@ -47,6 +47,61 @@ def test_mix(spark):
             assert abs(order[:n].count(s) - n * w / 4) < 1
 
 
+@pytest.mark.parametrize(
+    "weights, bound",
+    [
+        ({"a": 1, "b": 2}, 1),
+        ({"a": Fraction(1, 3), "b": Fraction(2, 3)}, 1),
+        ({"a": 1e-4, "b": 1.0}, 1),
+        ({"a": 1e-6, "b": 0.7, "c": 0.299999}, 2),
+        ({"a": 2**0.5, "b": 3**0.5, "c": 0.1, "d": 7.0}, 2),
+        ({f"s{i}": 1 / (i + 3) for i in range(40)}, 2),
+    ],
+)
+def test_long_schedules(weights, bound):
+    """No source drifts off its weight, however many periods there are."""
+    whole, n = mixing.whole_weights(weights), 200_000
+    assert all(Fraction(str(w)) * whole["b"] == Fraction(str(weights["b"])) * whole[s] for s, w in weights.items() if "b" in weights)
+    total, served, at = sum(whole.values()), Counter(), 0
+    for slot, parts, first, lasting in mixing.phases(dict.fromkeys(whole, n), whole, 1000):
+        if lasting < total:
+            break
+        assert slot == at and first == {s: served[s] for s in parts}
+        for source, *_ in mixing.serve(parts):
+            served[source] += 1
+            at += 1
+            if at % 7 == 0:
+                assert all(abs(served[s] * total - at * w) < bound * total for s, w in whole.items())
+    assert max(served.values()) == n
+
+
+def test_schedules_serve_everything():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        names = [f"s{i}" for i in range(r.integers(1, 8))]
+        blocks = {s: int(r.integers(0, 60)) for s in names}
+        weights = mixing.whole_weights({s: float(r.random() ** 4 + 1e-6) for s in names})
+        at, served = 0, Counter()
+        for slot, parts, first, _ in mixing.phases(blocks, weights, int(r.integers(1, 50))):
+            assert slot == at and all(parts.values()) and parts and first == {s: served[s] for s in parts}
+            served.update(parts)
+            at += sum(parts.values())
+        assert served == Counter({s: n for s, n in blocks.items() if n})
+
+
+def test_to_targets_keeps_all(spark):
+    """All rows stay, in the order of the slots of ``mix``; only on request those off target go."""
+    rows = [(i, f"t{i}", "ab"[i % 5 == 0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    options = {"weights": {"a": 1.0, "b": 3.0}, "block_rows": 4}
+    slots = {r.text: (r.slot, r.on_target) for r in mixing.mix(docs, **options).collect()}
+    got = [r.text for r in mixing.to_targets(docs, **options).collect()]
+    assert sorted(got) == sorted(t for _, t, _ in rows)
+    assert [slots[t][0] for t in got] == sorted(s for s, _ in slots.values())
+    kept = [r.text for r in mixing.to_targets(docs, only_on_target=True, **options).collect()]
+    assert sorted(kept) == sorted(t for t, (_, on) in slots.items() if on) and 0 < len(kept) < len(rows)
+
+
 def test_token_counts(spark):
     texts = ["", None, "one two three", "one two three", "ünï 12345 ...", "word " * 300, "a\n\n b"]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA)
@@ -223,6 +278,9 @@ def test_pipeline(spark):
     windows = _windows(read(spark, SMALL, "benchmark").collect())
     assert kept == {r.doc_id for r in before if _is_clean(r.text, windows)}
 
+    before, kept = tables["mix"]
+    assert kept == {r.doc_id for r in before}
+
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
     for s in range(sharding.SHARDS):
