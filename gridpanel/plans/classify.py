@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.operators.aggregates import fold_mean_std
+from gridpanel.plans import forest
 from gridpanel.plans.folds import shuffled_folds, temporal_folds
 from gridpanel.plans.scaling import scaled, scaler
 from gridpanel.plans.validation import Fit, fold_f1, out_of_fold
@@ -20,13 +21,19 @@ FOLDS = 5
 MAX_DEPTH = 30
 
 
-def balanced_weight(train: DataFrame, label: str) -> tuple[Column, int]:
-    """Weight n / (classes * n_class) as an expression, and n."""
+def class_weights(train: DataFrame, label: str) -> tuple[dict[int, float], int]:
+    """Weight n / (classes * n_class) of each class, and n."""
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}  # one row per class
     n = sum(counts.values())
+    return {value: n / (len(counts) * count) for value, count in counts.items()}, n
+
+
+def balanced_weight(train: DataFrame, label: str) -> tuple[Column, int]:
+    """The class weight as an expression, and n."""
+    weights, n = class_weights(train, label)
     weight = F.lit(None).cast("double")
-    for value, count in counts.items():
-        weight = F.when(F.col(label) == value, F.lit(n / (len(counts) * count))).otherwise(weight)
+    for value, share in weights.items():
+        weight = F.when(F.col(label) == value, F.lit(share)).otherwise(weight)
     return weight, n
 
 
@@ -67,18 +74,14 @@ def train_forest(
     Trees grow until their leaves are pure or ``max_depth`` deep; the library allows no more
     than ``MAX_DEPTH``.
     """
-    weight, _ = balanced_weight(train, label)
-    data = _vector(train, cols).withColumn("_w", weight)
-    return RandomForestClassifier(
-        featuresCol="_x", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=max_depth,
-        featureSubsetStrategy="sqrt", seed=seed,
-    ).fit(data)
+    weights, _ = class_weights(train, label)
+    return forest.train(train, cols, label, weights, trees, max_depth, seed)
 
 
 def forest_balanced(cols: Sequence[str] = FEATURES, label: str = "label", **options) -> Fit:
     def fit(train: DataFrame):
         model = train_forest(train, cols, label, **options)
-        return lambda test: model.transform(_vector(test, cols)).select(*test.columns, "prediction")
+        return lambda test: forest.predict(model, test)
 
     return fit
 
@@ -127,9 +130,9 @@ def leak_inflation(features: DataFrame, fits: dict[str, Fit], n: int = FOLDS, se
 
 def importance(features: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """Feature weights of both models on all rows; coefficients are scaled to the forest's maximum."""
-    forest = train_forest(features, cols)
+    trained = train_forest(features, cols)
     logit, _ = train_logistic(features, cols)
-    by_forest = [float(v) for v in forest.featureImportances.toArray()]
+    by_forest = forest.importances(trained)
     sizes = [abs(float(v)) for v in logit.coefficients.toArray()]
     top = max(sizes)
     by_logit = [v / top * max(by_forest) if top > 0 else v for v in sizes]

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridpanel.plans import anomaly, classify, cluster, folds, forecast as fc, regress, validation
+from gridpanel.plans import anomaly, classify, cluster, folds, forecast as fc, forest, regress, validation
 from gridpanel.session import materialize
 from tests.grids import rows_of
 
@@ -240,3 +241,51 @@ def test_projection_keeps_the_variance(spark):
     got = cluster.pca2(df, ["x1", "x2"]).toPandas()
     assert got["explained_1"].iat[0] + got["explained_2"].iat[0] == pytest.approx(100.0)
     assert got["pc1"].var() >= got["pc2"].var()
+
+
+# --- forests -----------------------------------------------------------------------
+
+
+def test_forest_against_the_library(spark):
+    """Same classes and importances as the library's forest, up to the draws."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=1200) > 0.5).astype(int)
+    rows = [(f"h{i}", 2000, int(y[i]), *map(float, x[i])) for i in range(1200)]
+    df = materialize(spark.createDataFrame(rows, "host string, year int, label int, a double, b double, c double"), "rows")
+    train, test = df.filter("host < 'h7'"), df.filter("host >= 'h7'")
+    weight, _ = classify.balanced_weight(train, "label")
+    vector = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x")
+    theirs = RandomForestClassifier(
+        featuresCol="x", labelCol="label", weightCol="w", numTrees=40, maxDepth=30, featureSubsetStrategy="sqrt", seed=42
+    ).fit(vector.transform(train.withColumn("w", weight)))
+    model = classify.train_forest(train, ["a", "b", "c"], trees=40)
+    got = {r["host"]: (r["label"], r["prediction"]) for r in forest.predict(model, test).collect()}
+    want = {r["host"]: r["prediction"] for r in theirs.transform(vector.transform(test)).collect()}
+    assert len(got) == len(want) > 300 and np.mean([got[h][1] == p for h, p in want.items()]) > 0.95
+    right = np.mean([a == want[h] for h, (a, _) in got.items()])
+    assert np.mean([a == b for a, b in got.values()]) > right - 0.02
+    assert np.abs(np.array(forest.importances(model)) - theirs.featureImportances.toArray()).max() < 0.04
+    again = classify.train_forest(train.repartition(3), ["a", "b", "c"], trees=40)
+    assert forest.importances(again) == forest.importances(model)
+
+
+def test_forest_is_a_table(spark):
+    """The driver holds no node: a fitted model is thresholds and a stored table."""
+    model = classify.train_forest(classify.prepared(labelled(spark)), classify.FEATURES, trees=7)
+    nodes = model.nodes
+    assert nodes.inputFiles() and nodes.select("tree").distinct().count() == 7
+    assert nodes.filter("node = 0").groupBy().agg(F.min("weight").alias("w")).first()["w"] > 0
+
+
+def test_grown_tree_separates_all_cells():
+    x = np.array([[a, b] for a in range(9) for b in range(7)])
+    w = np.zeros((63, 2))
+    w[np.arange(63), (x[:, 0] * 3 + x[:, 1]) % 2] = 2.0
+    nodes = forest.grow(x, w, 30, 2, np.random.default_rng(1))
+    leaf = forest.walk(pd.DataFrame({k: v for k, v in nodes.items() if k != "share"}), x)
+    assert (nodes["share"][leaf].argmax(axis=1) == w.argmax(axis=1)).all() and (nodes["share"][leaf].max(axis=1) == 1).all()
+    assert len(forest.grow(x, w, 0, 2, np.random.default_rng(1))["feature"]) == 1
