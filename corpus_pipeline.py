@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridpanel.llm import decontaminate, mixing, quality, sharding, simhash
 from gridpanel.llm.common import read
 from gridpanel.session import materialize
 
+PLACE = "mix_place"  # ascends in the order in which the mix serves the documents
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,8 +36,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and the slot inside it."""
-    return sharding.shard(docs)
+    """The documents with their shard, the slot inside it, and their turn there in the order of the mix."""
+    if PLACE not in docs.columns:
+        return sharding.shard(docs)
+    return sharding.shard(docs, serve_by=PLACE)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -51,8 +55,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again as the next one's input."""
+    """All stages over ``documents``, each written and read again as the next one's input.
+
+    Files don't keep the order of rows, so the mix's order is written as a column: the
+    shards serve their documents by it.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        if stage is mix:
+            docs = docs.withColumn(PLACE, F.monotonically_increasing_id())  # rows come range-partitioned and sorted
+        docs = materialize(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)

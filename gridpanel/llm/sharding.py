@@ -84,9 +84,12 @@ def assign(groups: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFram
     return named, others.union(rest.select("key", F.col("bin").alias("shard")))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] | None = None, serve_by: str | None = None) -> DataFrame:
     """Columns ``keep`` of every row (all by default), size, text_crc32, shard and slot.
 
+    With ``serve_by``, a column of ``docs``, also served: the row's place in its shard, from
+    0 without gaps, ascending that column.
+
     Size: UTF-8 bytes of the text plus ``ROW_BYTES``; a null text counts as empty. Rows
     with equal texts form a group and share a shard; shards get nearly equal sizes.
     ``slot`` numbers a shard's rows from 0 without gaps, ascending doc_id (null first).
@@ -97,7 +100,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] | None = No
     under a row number and meet their slot in one join on it, so no key is hot there.
     """
     keep = list(docs.columns if keep is None else keep)
-    own = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot", "_key", "_row")]
+    made = ("size", "text_crc32", "shard", "slot", "_key", "_row", *(["served", "_serve"] if serve_by else []))
+    own = [c for c in keep if c not in made]
+    turn = [F.col(serve_by).alias("_serve")] if serve_by else []
     ids = [c for c in own if c == "doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(
@@ -106,9 +111,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] | None = No
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_key"),
         F.monotonically_increasing_id().alias("_row"),
+        *turn,
     )
     sized = materialize(sized, "sized")  # fixes the row numbers
-    rows = sized.select("_row", *ids, "size", "text_crc32", "_key")
+    rows = sized.select("_row", *ids, "size", "text_crc32", "_key", *(["_serve"] if serve_by else []))
     groups = materialize(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes")), "groups")
     large, others = assign(groups, shards)
     near = F.broadcast(large)  # at most shards * _GRAIN rows; holds every group with many rows
@@ -117,9 +123,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] | None = No
     placed = hot.unionByName(cold.drop("key")).drop("_key")
     order = [F.col(c).asc_nulls_first() for c in ids]
     slots = dense_index(placed, ["shard"], [*order, F.col("text_crc32"), F.col("size")], "slot")
+    found = ["shard", "slot"]
+    if serve_by:
+        slots = dense_index(slots, ["shard"], [F.col("_serve").asc_nulls_first(), F.col("_row")], "served").drop("_serve")
+        found.append("served")
     if own == ids:
         return slots.drop("_row")
-    return sized.drop("_key").join(slots.select("_row", "shard", "slot"), "_row").drop("_row")
+    return sized.drop("_key", "_serve").join(slots.select("_row", *found), "_row").drop("_row")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -285,3 +285,32 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
     for s in range(sharding.SHARDS):
         assert [r.slot for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.doc_id)] == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_shards_serve_in_the_order_of_the_mix(spark):
+    """Within every shard of the pipeline's result documents stand in the mix's order."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 3 == 0], 6) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+    order = {r.doc_id: n for n, r in enumerate(mixing.to_targets(docs, block_rows=2).collect())}
+    placed = docs.join(spark.createDataFrame(list(order.items()), "doc_id long, mix_place long"), "doc_id")
+    rows = corpus_pipeline.shard(spark, placed, SMALL).collect()
+    assert len(rows) == 90 and [r.doc_id for r in sorted(rows, key=lambda r: r.mix_place)] != list(range(90))
+    for s in {r.shard for r in rows}:
+        here = sorted((r for r in rows if r.shard == s), key=lambda r: r.mix_place)
+        assert [r.served for r in here] == list(range(len(here)))
+
+
+def test_pipeline_hands_on_the_mix(spark, monkeypatch):
+    """Each shard of the result alternates between sources as the mix does: the stage's order is not lost."""
+    seen = {}
+
+    def served(spark, docs, sf_dir):
+        seen["ids"] = [r.doc_id for r in docs.orderBy(corpus_pipeline.PLACE).collect()]
+        return docs
+
+    keep = ("mix", corpus_pipeline.mix)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [keep, ("shard", served)])
+    corpus_pipeline.run(spark, SMALL)
+    docs = read(spark, SMALL, "documents")
+    slots = {r.doc_id: r.slot for r in mixing.mix(docs).select("doc_id", "slot").collect()}
+    got = [slots[i] for i in seen["ids"]]
+    assert got == sorted(got) and len(got) == docs.count()
