@@ -21,8 +21,13 @@ START_ROWS = 4096  # rows that starting centres are drawn from
 
 
 def _distances(points: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Squared distance of every point to every centre, one centre at a time."""
-    return np.stack([((points - x) ** 2).sum(axis=1) for x in xs], axis=1)
+    """Squared distance of every point to every centre, one coordinate at a time."""
+    out = np.zeros((len(points), len(xs)))
+    for i in range(points.shape[1]):
+        gap = points[:, i, None] - xs[None, :, i]
+        gap *= gap
+        out += gap
+    return out
 
 
 def _points(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -70,8 +75,8 @@ def _totals(df: DataFrame, cols: Sequence[str], centres: Centres) -> DataFrame:
             for name, xs in centres.items():
                 far = _distances(points, xs)
                 best = far.argmin(axis=1)
-                row = np.column_stack([np.ones(len(best)), far[np.arange(len(best)), best], points])
-                np.add.at(sums[name], best, row)
+                values = [None, far[np.arange(len(best)), best], *points.T]
+                sums[name] += np.column_stack([np.bincount(best, v, len(xs)) for v in values])
         names = [name for name, xs in centres.items() for _ in xs]
         places = [i for xs in centres.values() for i in range(len(xs))]
         flat = np.concatenate(list(sums.values()))

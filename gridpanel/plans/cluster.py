@@ -18,6 +18,7 @@ from gridpanel.session import materialize
 
 SEED, RESTARTS, KS = 42, 10, tuple(range(2, 9))
 BLOCK = 1024
+GROUP = 16  # blocks that one side of a pair brings to a task
 
 
 def standardised(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -30,44 +31,79 @@ def vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="x").transform(standardised(df, cols))
 
 
+def _far(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``xa`` to all of ``xb``, one coordinate at a time."""
+    out = np.zeros((len(xa), len(xb)))
+    for i in range(xa.shape[1]):
+        gap = xa[:, i, None] - xb[None, :, i]
+        gap *= gap
+        out += gap
+    return np.sqrt(out, out=out)
+
+
+def _near_and_far(same: bool, a: tuple, b: tuple, block: int) -> Iterator[pd.DataFrame]:
+    """Sums of distances of every point of two groups to each cluster of the other one."""
+    (ka, xa, la), (kb, xb, lb) = a, b
+    clusters = [(np.unique(la[:, i]), np.unique(lb[:, i])) for i in range(la.shape[1])]
+    member = lambda l, i, names: (l[:, i, None] == names[None, :]).astype(float)
+    of_a = [member(la, i, names) for i, (names, _) in enumerate(clusters)]
+    of_b = [member(lb, i, names) for i, (_, names) in enumerate(clusters)]
+    to_b = [np.zeros((len(xa), m.shape[1])) for m in of_b]
+    to_a = [np.zeros((len(xb), m.shape[1])) for m in of_a]
+    for p in range(0, len(xa), block):
+        for q in range(0, len(xb), block):
+            far = _far(xa[p : p + block], xb[q : q + block])
+            for i in range(len(clusters)):
+                to_b[i][p : p + block] += far @ of_b[i][q : q + block]
+                if not same:
+                    to_a[i][q : q + block] += far.T @ of_a[i][p : p + block]
+    for i, (names_a, names_b) in enumerate(clusters):
+        sides = [(ka, la, names_b, of_b[i], to_b[i])] + ([] if same else [(kb, lb, names_a, of_a[i], to_a[i])])
+        for keys, own, names, members, total in sides:
+            for j, c in enumerate(names):
+                yield pd.DataFrame({
+                    "k": keys, "which": i, "own": own[:, i], "cluster": int(c), "dist": total[:, j], "n": int(members[:, j].sum()),
+                })
+
+
 def silhouette(df: DataFrame, key: str, cols: Sequence[str], labels: Sequence[str], block: int = BLOCK) -> DataFrame:
     """Mean Euclidean silhouette for each label column: (labels, silhouette, n).
 
-    Needs every distance, so points are packed into blocks of about ``block``
-    rows and blocks meet blocks: distances live in one numpy matrix at a time
-    and only their per-cluster sums leave the task.
+    Needs every distance: points are dealt into groups of up to ``GROUP`` blocks of ``block``
+    rows, and every unordered pair of groups is one row of a join, dealt evenly. Inside a
+    pair distances live in one block-by-block matrix at a time, each serves both of its
+    points, and a pair sends one row per point and cluster. Points x groups rows meet.
     """
     cols, labels = list(cols), list(labels)
-    blocks = max(1, -(-df.count() // block))
-    packed = (
-        df.withColumn("_blk", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-        .groupBy("_blk")
+    groups = max(1, -(-df.count() // (block * GROUP)))
+    # a pair of groups costs about as much as any other, so their number deals the work
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    packed = materialize(
+        df.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+        .groupBy("_g")
         .agg(F.collect_list(F.struct(
             F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"),
             F.array(*[F.col(c).cast("int") for c in labels]).alias("l"),
-        )).alias("p"))
+        )).alias("p")), "groups",
     )
-    left = packed.select(F.col("p").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"))
-    pairs = left.join(packed.select("_blk", F.col("p").alias("b")), "_blk").select(
-        F.col("a.k").alias("ka"), F.flatten("a.x").alias("xa"), F.flatten("a.l").alias("la"),
-        F.flatten("b.x").alias("xb"), F.flatten("b.l").alias("lb"),
+    side = lambda n: packed.select(F.col("_g").alias(f"g{n}"), F.col("p").alias(f"p{n}"))
+    met = df.sparkSession.range(groups * groups).select(
+        (F.col("id") / groups).cast("int").alias("ga"), (F.col("id") % groups).cast("int").alias("gb")
+    ).filter("ga <= gb")
+    pairs = met.join(side("a"), "ga").join(side("b"), "gb").repartition(max(1, min(groups * (groups + 1) // 2, 16 * parallel)))
+    pairs = pairs.select(
+        (F.col("ga") == F.col("gb")).alias("same"), F.col("pa.k").alias("ka"), F.flatten("pa.x").alias("xa"), F.flatten("pa.l").alias("la"),
+        F.col("pb.k").alias("kb"), F.flatten("pb.x").alias("xb"), F.flatten("pb.l").alias("lb"),
     )
     kind = df.schema[key].dataType.simpleString()
     schema = f"k {kind}, which int, own int, cluster int, dist double, n bigint"
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shape = lambda values, width: np.reshape(values, (-1, width))
         for pdf in batches:
-            for ka, xa, la, xb, lb in pdf.itertuples(index=False):
-                xa, xb = np.reshape(xa, (-1, len(cols))), np.reshape(xb, (-1, len(cols)))
-                la, lb = np.reshape(la, (-1, len(labels))), np.reshape(lb, (-1, len(labels)))
-                far = np.sqrt(((xa[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2))
-                for i in range(len(labels)):
-                    for c in np.unique(lb[:, i]):
-                        inside = lb[:, i] == c
-                        yield pd.DataFrame({
-                            "k": ka, "which": i, "own": la[:, i], "cluster": int(c),
-                            "dist": far[:, inside].sum(axis=1), "n": int(inside.sum()),
-                        })
+            for same, ka, xa, la, kb, xb, lb in pdf.itertuples(index=False):
+                xa, la, xb, lb = shape(xa, len(cols)), shape(la, len(labels)), shape(xb, len(cols)), shape(lb, len(labels))
+                yield from _near_and_far(same, (ka, xa, la), (kb, xb, lb), block)
 
     per = pairs.mapInPandas(sums, schema).groupBy("k", "which", "own", "cluster").agg(
         F.sum("dist").alias("dist"), F.sum("n").alias("n")
