@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpanel.llm import decontaminate, mixing, quality, sharding, simhash
@@ -35,11 +36,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.to_targets(docs)
 
 
+def file_order(docs: DataFrame) -> Column:
+    """The order in which rows were written to their files, for tables that carry no place."""
+    order = F.struct("_metadata.file_name", "_metadata.row_index")  # file names ascend with the partitions written
+    try:
+        docs.select(order)
+    except AnalysisException:  # not read from files
+        return F.monotonically_increasing_id()
+    return order
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard, the slot inside it, and their turn there in the order of the mix."""
-    if PLACE not in docs.columns:
-        return sharding.shard(docs)
-    return sharding.shard(docs, serve_by=PLACE)
+    if PLACE in docs.columns:
+        return sharding.shard(docs, serve_by=PLACE)
+    return sharding.shard(docs.withColumn(PLACE, file_order(docs)), keep=docs.columns, serve_by=PLACE)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -314,3 +314,15 @@ def test_pipeline_hands_on_the_mix(spark, monkeypatch):
     slots = {r.doc_id: r.slot for r in mixing.mix(docs).select("doc_id", "slot").collect()}
     got = [slots[i] for i in seen["ids"]]
     assert got == sorted(got) and len(got) == docs.count()
+
+
+def test_shards_serve_in_file_order(spark, tmp_path):
+    """Stages that are written and read one by one hand on the order too."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 3 == 0], 6) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixing.to_targets(docs, block_rows=2).write.parquet(str(tmp_path / "mixed"))
+    slots = {r.doc_id: r.slot for r in mixing.mix(docs, block_rows=2).collect()}
+    rows = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / "mixed")), SMALL).collect()
+    assert len(rows) == 400 and corpus_pipeline.PLACE not in rows[0].asDict()
+    for s in {r.shard for r in rows}:
+        here = [slots[r.doc_id] for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.served)]
+        assert here == sorted(here)
