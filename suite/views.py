@@ -267,10 +267,36 @@ number_texts = _run("number_texts", ("lineitem",))
 sheets = _run("sheets", ("orders",))
 grid_num = _run("grid_num", ("lineitem", "part", "supplier"))
 early_num = _run("early_num", ("lineitem", "part", "supplier"))
-state_rows = _run("state_rows", ("lineitem",))
 event_rows = _run("event_rows", ("lineitem", "supplier", "part"))
 
 
+STATE_TASK_ROWS = 200_000  # lines whose labels one task sorts
+
+
+def state_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines are dealt by their sheet row while they are narrow; labels are made after that.
+
+    The largest label of a row needs a sort, so the number of tasks follows the number of lines.
+    """
+    lines = table(spark, folder, "lineitem").select(
+        F.expr("CAST(year(l_shipdate) AS INT)").alias("period"),
+        F.expr("4 * l_partkey + CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END").alias("r"),
+        "l_partkey", "l_returnflag",
+    )
+    tasks = max(1, -(-lines.count() // STATE_TASK_ROWS))
+    code = """CASE WHEN l_returnflag = 'R' THEN CAST(l_partkey * 20 AS VARCHAR(20))
+      WHEN l_returnflag = 'N' AND l_partkey % 11 = 0 THEN 'Код тварини' END"""
+    name = """CASE WHEN l_returnflag = 'R' THEN concat('part ', CAST(l_partkey AS VARCHAR(20)),
+       CASE WHEN l_partkey % 3 = 0 THEN ' - загальна кількість' ELSE '' END)
+      WHEN l_returnflag = 'A' THEN 'Добуто' WHEN l_partkey % 4 = 0 THEN NULL ELSE 'розселено' END"""
+    unit = "CASE WHEN l_partkey % 2 = 0 THEN 'тонн' ELSE 'голів' END"
+    top = lines.repartition(tasks, "period", "r").groupBy("period", "r").agg(
+        *[F.expr(f"max({text})").alias(n) for n, text in (("code", code), ("name", name), ("unit", unit))]
+    )
+    file_id = F.concat(F.lit("F"), F.col("period").cast("string"))
+    return top.select(file_id.alias("file_id"), F.lit("S").alias("sheet"), "period", "r", "code", "name", "unit")
+
+
 def host_map(spark: SparkSession, folder: str) -> DataFrame:
     """Four spellings per supplier, from one scan."""
     s = table(spark, folder, "supplier").filter("s_suppkey % 17 <> 3")

@@ -289,3 +289,13 @@ def test_grown_tree_separates_all_cells():
     leaf = forest.walk(pd.DataFrame({k: v for k, v in nodes.items() if k != "share"}), x)
     assert (nodes["share"][leaf].argmax(axis=1) == w.argmax(axis=1)).all() and (nodes["share"][leaf].max(axis=1) == 1).all()
     assert len(forest.grow(x, w, 0, 2, np.random.default_rng(1))["feature"]) == 1
+
+
+def test_silhouette_of_many_groups_matches_brute_force(spark, monkeypatch):
+    """Pairs of different groups serve both sides."""
+    monkeypatch.setattr(cluster, "GROUP", 2)
+    rng = np.random.default_rng(11)
+    points, labels = rng.normal(size=(60, 2)), rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(f"h{i}", float(a), float(b), int(labels[i])) for i, (a, b) in enumerate(points)], "host string, x1 double, x2 double, g int")
+    got = cluster.silhouette(df, "host", ["x1", "x2"], ["g"], 5).first()
+    assert got["n"] == 60 and got["silhouette"] == pytest.approx(plain_silhouette(points, labels))

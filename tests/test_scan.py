@@ -74,3 +74,18 @@ def test_lookahead_uses_row_numbers(spark):
     rows = scan.grid_rows(grid, {0: "x"}, {0: "next_x"})
     assert rows_of(rows, "r", "x", "next_x") == [(0, "a", None), (2, "b", "c"), (3, "c", None)]
     assert rows.filter(F.col("r") < 0).count() == 0
+
+
+def test_state_rows_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Tasks follow the number of lines; rows are those of the view's SQL."""
+    from suite import tables, views
+
+    rows = [(i, i % 23 or None, 1, 1, 1.0, 1.0, 0.0, 0.0, "RAN"[i % 3], "O", None) for i in range(400)]
+    lines = spark.createDataFrame(rows, tables.SCHEMAS["lineitem"])
+    lines = lines.withColumn("l_shipdate", F.expr("CAST(make_date(CAST(1992 + l_orderkey % 5 AS INT), 3, 4) AS TIMESTAMP_NTZ)"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(views, "STATE_TASK_ROWS", 60)
+    got = views.state_rows(spark, str(tmp_path))
+    want = spark.sql(views.SQL["state_rows"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.select(*got.columns).collect())))
+    assert got.rdd.getNumPartitions() == 7
