@@ -24,7 +24,7 @@ from gridpanel.functions.text import (
     species_from_label,
     strip_text,
 )
-from gridpanel.operators.joins import join_dim
+from gridpanel.operators.joins import join_dim, pin
 from gridpanel.operators.layout import SHEET
 from gridpanel.session import materialize
 
@@ -42,13 +42,14 @@ def carry_forward(
     """
     part = list(part)
     blocked = df if "_blk" in df.columns else df.withColumn("_blk", F.floor(F.col(order) / block_rows))
-    inside = Window.partitionBy(*part, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # the block comes first: sorts compare their first key quickest, and sheets' names hardly differ
+    inside = Window.partitionBy("_blk", *part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = materialize(blocked.withColumn(value, F.last(value, ignorenulls=True).over(inside)), "filled")
     # one row per block: at most (largest row number / block_rows) rows per sheet
     ends = local.groupBy(*part, "_blk").agg(F.max_by(value, order).alias("_last"))
     earlier = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*part, "_blk", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
-    joined = local.join(carried, [*part, "_blk"], "left")
+    joined = join_dim(local, carried, [*part, "_blk"], "left")
     return joined.withColumn(value, F.coalesce(value, "_before")).drop("_blk", "_before")
 
 
@@ -69,13 +70,16 @@ def grid_rows(
     if block_rows:
         wanted = wanted.withColumn("_blk", F.floor(F.col("r") / block_rows)).repartition(*SHEET, "_blk")
         keys.append("_blk")
+    # the largest text needs a sort; by row number first, as sheets' names hardly differ
+    by = ["r", *[k for k in keys if k != "r"]]
     if not lookahead:
-        return wanted.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in columns.items()])
+        named = [F.max(F.when(F.col("c") == c, F.col("v"))).alias(name) for c, name in columns.items()]
+        return wanted.groupBy(*by).agg(*named).select(*keys, *columns.values())
     at = lambda c, up: F.max(F.when((F.col("c") == c) & (F.col("_up") == up), F.col("v")))
     aggs = [at(c, 0).alias(name) for c, name in columns.items()]
     aggs += [at(c, 1).alias(name) for c, name in lookahead.items()]
-    rows = wanted.groupBy(*keys).agg(*aggs, F.max(F.when(F.col("_up") == 0, F.lit(True))).alias("_own"))
-    return rows.filter("_own").drop("_own")
+    rows = wanted.groupBy(*by).agg(*aggs, F.max(F.when(F.col("_up") == 0, F.lit(True))).alias("_own"))
+    return rows.filter("_own").select(*keys, *columns.values(), *lookahead.values())
 
 
 def header_has_value(name: Column, next_code: Column, next_name: Column) -> Column:
@@ -125,19 +129,27 @@ def ffill_entity(rows: DataFrame, col: str = "host", block_rows: int = BLOCK_ROW
 def relocation_events(
     cells: DataFrame, hdr: DataFrame, denylist: Sequence[str] = (), block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Event log of a relocation sheet: host, species, count, location, origin."""
+    """Event log of a relocation sheet: host, species, count, location, origin.
+
+    Names are cleaned once each: a host before the fill, in the cells that name it, and a
+    species per spelling, which is then joined to the rows.
+    """
     names = {0: "host", 1: "species", 2: "count", 3: "location", 4: "origin"}
-    filled = carry_forward(grid_rows(cells, names, block_rows=block_rows), "host", block_rows=block_rows)
-    below = join_dim(filled, hdr, SHEET).filter("r > hdr_r")
-    host = strip_text(F.col("host"))
-    kept = below.na.drop(subset=["host", "species"]).filter(
-        ~is_aggregate(F.col("host"), extended=True) & ~is_contaminant(F.col("host"), denylist)
-    )
+    host = F.col("host")
+    good = ~is_aggregate(host, extended=True) & ~is_contaminant(host, denylist)
+    rows = grid_rows(cells, names, block_rows=block_rows)
+    rows = rows.withColumn("_host", F.when(host.isNotNull(), F.struct(strip_text(host).alias("name"), good.alias("good"))))
+    filled = carry_forward(rows.drop("host"), "_host", block_rows=block_rows)
+    below = join_dim(filled.filter("species IS NOT NULL"), hdr, SHEET).filter("r > hdr_r AND _host.good")
+    # pinned before they are cleaned: the cleaning must not be pushed down to all rows
+    spellings = pin(below.select("species").distinct())
+    named = spellings.withColumn("_named", norm_species_v2(F.col("species"))).filter("_named IS NOT NULL")
+    kept = join_dim(below, named, ["species"])
     return kept.select(
         F.col("period").alias("year"),
-        host.alias("host"),
-        norm_species_v2(F.col("species")).alias("species"),
+        F.col("_host.name").alias("host"),
+        F.col("_named").alias("species"),
         to_number(F.col("count")).alias("count"),
         strip_text(F.col("location")).alias("location"),
         strip_text(F.col("origin")).alias("origin"),
-    ).filter("species IS NOT NULL")
+    )

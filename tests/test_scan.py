@@ -69,6 +69,16 @@ def test_relocation_events_keep_the_first_header(spark):
     assert rows_of(log, "host", "species", "count") == [("A", "X", 1.0), ("A", "Y", 2.0)]
 
 
+def test_relocation_events_clean_a_species_per_spelling(spark):
+    """Rows meet cleaned spellings and carried hosts by broadcast; they aren't cleaned or dealt out again."""
+    body = [["Користувач", "Вид"], [None, "x"], ["0501234567", "x"], [None, "x"], [" A ", " лось*"], [None, "всього"], [None, None], [None, " лось*"], [None, ""]]
+    grid = cells(spark, sheet("f", 2019, "S", 0, body, width=5))
+    log = scan.relocation_events(grid, layout.header_row(grid, "Користувач"), block_rows=3)
+    assert rows_of(log, "host", "species", "count") == [("A", "Лось", None), ("A", "Лось", None), ("Користувач", "X", None)]
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "translate(" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(_blk" not in plan
+
+
 def test_lookahead_uses_row_numbers(spark):
     grid = cells(spark, [("f", 1, "S", 0, 0, 0, "a"), ("f", 1, "S", 0, 2, 0, "b"), ("f", 1, "S", 0, 3, 0, "c")])
     rows = scan.grid_rows(grid, {0: "x"}, {0: "next_x"})
