@@ -7,12 +7,15 @@ number of periods; Spark spreads the series over the executors.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_POINTS = 5
 TOO_SHORT = "too little data"
+_ALIKE = 8  # series whose lengths fall into one step of so many are fitted together
+_TOGETHER = 500_000  # values fitted together
 
 
 def series_of(df: DataFrame) -> DataFrame:
@@ -20,12 +23,33 @@ def series_of(df: DataFrame) -> DataFrame:
     return df.filter(F.col("value").isNotNull()).groupBy("entity", "period").agg(F.avg("value").alias("value"))
 
 
-def _by_entity(df: DataFrame):
-    """Series grouped for fitting. Fitting is heavy per byte, so the partition count is
-    stated: merged by size, small series would all end up in a few tasks."""
+def _by_entity(df: DataFrame, run, schema: str) -> DataFrame:
+    """``run(entities, periods, values)`` over batches of whole series, their points in order of the period.
+
+    Fitting is heavy per byte, so the partition count is stated: merged by size, small series
+    would all end up in a few tasks."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, "entity").groupBy("entity")
+    point = F.struct(F.col("period").isNull().alias("late"), "period", F.col("value").cast("double").alias("value"))
+    whole = df.repartition(parts, "entity").groupBy("entity").agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+    def batches(found):
+        for batch in found:
+            points = batch.column("points")
+            at = points.offsets.to_numpy() - points.offsets[0].as_py()
+            flat = points.flatten()
+            value = flat.field("value").to_numpy(zero_copy_only=False).astype(float)
+            period = flat.field("period").to_numpy(zero_copy_only=False)
+            cut = lambda x: [x[i:j] for i, j in zip(at, at[1:], strict=False)]
+            yield from run(batch.column("entity"), cut(period), cut(value))
+
+    return whole.mapInArrow(batches, schema)
+
+
+def _found(result):
+    if isinstance(result, Exception):
+        raise result
+    return result
 
 
 # --- closed form: autoregressive order 0 or 1 on levels or differences -------------
@@ -192,6 +216,175 @@ def best_order(y: np.ndarray, max_p: int = 3, max_q: int = 3, max_d: int = 2, st
     return (best[0], d, best[1]), theta, float(aic)
 
 
+# --- many series at once: arrays are (time, series[, column]) --------------------------
+
+
+def _delayed(x: np.ndarray, k: int) -> np.ndarray:
+    """``_lag`` of every series."""
+    out = np.zeros_like(x)
+    out[k:] = x[: max(len(x) - k, 0)]
+    return out
+
+
+def _unwound(ma: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """``_unwind`` of every series; ``ma`` is (q, series)."""
+    out = columns.copy()
+    for t in range(1, len(out)):
+        for j in range(min(len(ma), t)):
+            out[t] -= ma[j, :, None] * out[t - 1 - j]
+    return out
+
+
+def _all_errors(z: np.ndarray, theta: np.ndarray, p: int, q: int) -> np.ndarray:
+    w = z - theta[-1]
+    driven = w - sum(theta[i] * _delayed(w, i + 1) for i in range(p))
+    return _unwound(theta[p : p + q], driven[..., None])[..., 0]
+
+
+def _all_slopes(z: np.ndarray, theta: np.ndarray, e: np.ndarray, p: int, q: int, with_mean: bool) -> np.ndarray:
+    w = z - theta[-1]
+    columns = [-_delayed(w, i + 1) for i in range(p)] + [-_delayed(e, j + 1) for j in range(q)]
+    if with_mean:
+        ones = np.ones_like(z)
+        columns.append(sum(theta[i] * _delayed(ones, i + 1) for i in range(p)) - ones)
+    return _unwound(theta[p : p + q], np.stack(columns, axis=2))
+
+
+def _all_stable(c: np.ndarray) -> np.ndarray:
+    """``_stable`` of every column of ``c``."""
+    good = np.ones(c.shape[1], bool)
+    with np.errstate(all="ignore"):
+        while len(c):
+            c, last = c[:-1], c[-1]
+            good &= np.abs(last) < 0.985
+            c = (c + last * c[::-1]) / (1 - last * last)
+    return good
+
+
+def _squares(e: np.ndarray) -> np.ndarray:
+    return np.einsum("ts,ts->s", e, e)
+
+
+def _fit_all(z: np.ndarray, n: np.ndarray, p: int, q: int, with_mean: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``_fit`` of every series: (parameters, series) and errors' squares. Each has its own damping and end.
+
+    Series end after ``n`` values; what stands below is 0 and its errors don't count.
+    """
+    many, free = z.shape[1], np.arange(p + q + int(with_mean))
+    live = np.arange(len(z))[:, None] < n
+    theta = np.zeros((p + q + 1, many))
+    if with_mean:
+        theta[-1] = z.sum(axis=0) / n
+    e = np.where(live, _all_errors(z, theta, p, q), 0.0)
+    sse, damp, going = _squares(e), np.full(many, 1e-2), np.arange(many)
+    for _ in range(15 if p + q else 0):
+        jac = _all_slopes(z[:, going], theta[:, going], e[:, going], p, q, with_mean)
+        jac = np.where(live[:, going, None], jac, 0.0)
+        gram, pull = np.einsum("tsi,tsj->sij", jac, jac), np.einsum("tsi,ts->si", jac, e[:, going])
+        size = np.diagonal(gram, axis1=1, axis2=2) + 1e-12
+        gain, left = np.full(len(going), -1.0), np.arange(len(going))
+        while len(left := left[damp[going[left]] < 1e4]):
+            at = going[left]
+            system = gram[left].copy()
+            system[:, free, free] += damp[at, None] * size[left]
+            trial = theta[:, at]
+            trial[free] -= np.linalg.solve(system, pull[left][..., None])[..., 0].T
+            good = _all_stable(trial[:p]) & _all_stable(-trial[p : p + q])
+            e_new = np.where(live[:, at[good]], _all_errors(z[:, at[good]], trial[:, good], p, q), 0.0)
+            new = _squares(e_new)
+            less = new < sse[at[good]]
+            good[good] = less
+            done = at[good]
+            gain[left[good]] = (sse[done] - new[less]) / sse[done]
+            theta[:, done], e[:, done], sse[done] = trial[:, good], e_new[:, less], new[less]
+            damp[done] = np.maximum(damp[done] / 5, 1e-6)
+            damp[at[~good]] *= 6
+            left = left[~good]
+        going = going[gain >= 1e-5]
+        if not len(going):
+            break
+    return theta, sse
+
+
+def best_orders(series: list[np.ndarray], max_p: int = 3, max_q: int = 3, max_d: int = 2, stepwise: bool = True) -> list:
+    """``best_order`` of every series; one that fails has its exception in place of a result.
+
+    Each series walks its own way; the fits that the walks ask for next are done
+    together where differences and order agree and lengths are alike.
+    """
+    out: list = [None] * len(series)
+    alike: dict[tuple[int, int], list[list[int]]] = {}
+    for i, y in enumerate(series):
+        try:
+            rows = -(-len(y) // _ALIKE)
+            groups = alike.setdefault((rows, _differences_needed(y, max_d)), [[]])
+            if len(groups[-1]) * rows * _ALIKE >= _TOGETHER:
+                groups.append([])
+            groups[-1].append(i)
+        except Exception as error:
+            out[i] = error
+    for d, members in ((d, members) for (_, d), groups in alike.items() for members in groups):
+        try:
+            parts = [np.diff(series[i], d) for i in members]
+            n = np.array([len(x) for x in parts])
+            z = np.zeros((max(n), len(parts)))
+            for k, x in enumerate(parts):
+                z[: len(x), k] = x
+            found = _best_together(z, n, d, max_p, max_q, stepwise)
+        except np.linalg.LinAlgError:  # one of them can't be solved: each on its own
+            found = []
+            for i in members:
+                try:
+                    found.append(best_order(series[i], max_p, max_q, max_d, stepwise))
+                except Exception as error:
+                    found.append(error)
+        for i, result in zip(members, found, strict=True):
+            out[i] = result
+    return out
+
+
+def _best_together(z: np.ndarray, n: np.ndarray, d: int, max_p: int, max_q: int, stepwise: bool) -> list:
+    many, with_mean = len(n), d < 2
+    tried: list[dict] = [{} for _ in range(many)]
+    allowed = lambda i, p, q: 0 <= p <= max_p and 0 <= q <= max_q and p + q <= max(n[i] - 2, 0)
+
+    def fit(wanted: dict[tuple[int, int], list[int]]) -> None:
+        for (p, q), at in wanted.items():
+            theta, sse = _fit_all(z[:, at], n[at], p, q, with_mean)
+            for k, i in enumerate(at):
+                aic = n[i] * np.log(max(sse[k], 1e-12) / n[i]) + 2 * (p + q + int(with_mean) + 1)
+                tried[i][p, q] = (aic, theta[:, k].copy())
+
+    def rank(i: int, pq: tuple[int, int]):
+        return round(tried[i][pq][0] if pq in tried[i] else np.inf, 9), sum(pq), pq
+
+    fit({(0, 0): list(range(many))})
+    exact = n * np.log(1e-12 / n) + 10  # fits exactly: nothing to search
+    walking = [i for i in range(many) if not tried[i][0, 0][0] <= exact[i]]
+    start = [(0, 0), (1, 0), (0, 1)] if stepwise else [(p, q) for p in range(max_p + 1) for q in range(max_q + 1)]
+    first = {pq: [i for i in walking if allowed(i, *pq)] for pq in start if pq != (0, 0)}
+    fit({pq: at for pq, at in first.items() if at})
+    best = [(0, 0)] * many
+    for i in walking:
+        best[i] = min(start, key=lambda pq: rank(i, pq))
+    while stepwise and walking:
+        around = {i: [(best[i][0] + a, best[i][1] + b) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, 1))] for i in walking}
+        wanted: dict[tuple[int, int], list[int]] = {}
+        for i in walking:
+            for pq in around[i]:
+                if allowed(i, *pq) and pq not in tried[i]:
+                    wanted.setdefault(pq, []).append(i)
+        fit(wanted)
+        moved = []
+        for i in walking:
+            step = min([best[i], *around[i]], key=lambda pq: rank(i, pq))
+            if step != best[i]:
+                best[i] = step
+                moved.append(i)
+        walking = moved
+    return [((best[i][0], d, best[i][1]), tried[i][best[i]][1], float(tried[i][best[i]][0])) for i in range(many)]
+
+
 def predict(y: np.ndarray, order: tuple[int, int, int], theta: np.ndarray, steps: int) -> np.ndarray:
     """Continue a series for a number of steps."""
     p, d, q = order
@@ -218,14 +411,15 @@ def order_search(
 ) -> DataFrame:
     """Best (p, d, q) per entity by AIC."""
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("period")["value"].to_numpy(float)
-        (p, d, q), _, aic = best_order(y, max_p, max_q, max_d, stepwise) if len(y) >= min_points else ((-1, -1, -1), None, 0.0)
-        return pd.DataFrame([(pdf["entity"].iat[0], p, d, q, aic)], columns=["entity", "p", "d", "q", "aic"])
+    def search(entities, periods, values):
+        long = np.flatnonzero([len(y) >= min_points for y in values])
+        found = [_found(r) for r in best_orders([values[i] for i in long], max_p, max_q, max_d, stepwise)]
+        orders = [pa.array([r[0][k] for r in found], pa.int32()) for k in range(3)]
+        aic = pa.array([r[2] for r in found], pa.float64(), from_pandas=True)
+        yield pa.RecordBatch.from_arrays([entities.take(pa.array(long)), *orders, aic], ["entity", "p", "d", "q", "aic"])
 
     kind = series.schema["entity"].dataType.simpleString()
-    found = _by_entity(series_of(series)).applyInPandas(search, f"entity {kind}, p int, d int, q int, aic double")
-    return found.filter("p >= 0")  # -1: too short
+    return _by_entity(series_of(series), search, f"entity {kind}, p int, d int, q int, aic double")
 
 
 def backtest(
@@ -237,25 +431,25 @@ def backtest(
     Every entity is kept: one that can't be fitted says why.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period")
-        train = pdf.loc[pdf["period"] <= train_end, "value"].to_numpy(float)
-        test = pdf.loc[pdf["period"].between(test_start, test_end), "value"].to_numpy(float)
-        order, mae, status = None, None, "ok"
-        if len(train) < min_points or len(test) == 0:
-            status = TOO_SHORT
-        else:
+    def run(entities, periods, values):
+        train = [y[p <= train_end] for p, y in zip(periods, values, strict=True)]
+        test = [y[(p >= test_start) & (p <= test_end)] for p, y in zip(periods, values, strict=True)]
+        usable = [i for i in range(len(values)) if len(train[i]) >= min_points and len(test[i])]
+        rows = [(None, None, TOO_SHORT)] * len(values)
+        for i, result in zip(usable, best_orders([train[i] for i in usable]), strict=True):
             try:
-                best, theta, _ = best_order(train)
-                mae = float(np.abs(predict(train, best, theta, len(test)) - test).mean())
-                order = _text(best)
+                best, theta, _ = _found(result)
+                mae = float(np.abs(predict(train[i], best, theta, len(test[i])) - test[i]).mean())
+                rows[i] = (_text(best), mae, "ok")
             except Exception as error:  # the report keeps the entity with the reason
-                status = str(error)[:50]
-        return pd.DataFrame({"entity": [pdf["entity"].iat[0]], "order": [order], "mae": [mae], "status": [status]})
+                rows[i] = (None, None, str(error)[:50])
+        order, mae, status = (pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string())))
+        # as a frame would have it, an error that is no number is no value
+        yield pa.RecordBatch.from_arrays([entities, order, pc.if_else(pc.is_nan(mae), None, mae), status], ["entity", "order", "mae", "status"])
 
     kind = series.schema["entity"].dataType.simpleString()
     used = series_of(series.filter(F.col("period") <= test_end))
-    fitted = _by_entity(used).applyInPandas(run, f"entity {kind}, order string, mae double, status string")
+    fitted = _by_entity(used, run, f"entity {kind}, order string, mae double, status string")
     kept = entities.select("entity").join(fitted, "entity", "left")
     return kept.select(
         "entity", "order", F.bround("mae", 1).alias("mae"), F.coalesce("status", F.lit(TOO_SHORT)).alias("status")
@@ -271,23 +465,22 @@ def forecast(
     of them alike.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period")
-        y = pdf["value"].to_numpy(float)
-        entity = pdf["entity"].iat[0]
-        if len(y) < min_points:
-            return pd.DataFrame({"entity": [entity], "period": [0], "forecast": [0.0], "order": [None]})
-        best, theta, _ = best_order(y)
-        start = int(pdf["period"].iat[-1]) + 1 if first_period is None else first_period
-        return pd.DataFrame({
-            "entity": [entity] * horizon,
-            "period": np.arange(start, start + horizon),
-            "forecast": predict(y, best, theta, horizon),
-            "order": [_text(best)] * horizon,
-        })
+    def run(entities, periods, values):
+        long = [i for i, y in enumerate(values) if len(y) >= min_points]
+        starts, ahead, orders = [], [], []
+        for i, result in zip(long, best_orders([values[i] for i in long]), strict=True):
+            best, theta, _ = _found(result)
+            starts.append(int(periods[i][-1]) + 1 if first_period is None else first_period)
+            ahead.append(predict(values[i], best, theta, horizon))
+            orders.append(_text(best))
+        steps = np.add.outer(np.array(starts, np.int32), np.arange(horizon, dtype=np.int32)).ravel()
+        order = pa.array(orders, pa.string()).take(pa.array(np.repeat(np.arange(len(long)), horizon)))
+        value = np.concatenate(ahead) if ahead else np.zeros(0)
+        yield pa.RecordBatch.from_arrays(
+            [entities.take(pa.array(np.repeat(np.array(long, np.int64), horizon))), pa.array(steps), pa.array(value, from_pandas=True), order],
+            ["entity", "period", "forecast", "order"],
+        )
 
     kind = series.schema["entity"].dataType.simpleString()
-    rows = _by_entity(series_of(series)).applyInPandas(
-        run, f"entity {kind}, period int, forecast double, order string"
-    )
-    return rows.filter(F.col("order").isNotNull()).withColumn("forecast", F.bround("forecast", 1))
+    rows = _by_entity(series_of(series), run, f"entity {kind}, period int, forecast double, order string")
+    return rows.withColumn("forecast", F.bround("forecast", 1))

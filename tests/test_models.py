@@ -103,6 +103,32 @@ def test_stepwise_order_is_near_the_best_of_the_grid():
         assert near[0][1] == whole[0][1] and whole[2] <= near[2] + 1e-6 and near[2] - whole[2] < 8
 
 
+def test_series_fitted_together_are_fitted_as_alone():
+    rng = np.random.default_rng(5)
+    series = [np.cumsum(rng.normal(size=n)) if n % 2 else rng.normal(10, 3, n) for n in (*range(5, 34), 120, 121)]
+    series += [np.ones(9), np.arange(8.0), np.array([1.0, 2, 4, 8, 16, 32]), np.full(6, np.nan), np.r_[np.zeros(6), 1e6]]
+    for stepwise in (True, False):
+        for y, got in zip(series, fc.best_orders(series, stepwise=stepwise), strict=True):
+            order, theta, aic = fc.best_order(y, stepwise=stepwise)
+            assert got[0] == order
+            assert np.allclose(got[1], theta, rtol=1e-4, atol=1e-6, equal_nan=True) and np.isclose(got[2], aic, equal_nan=True)
+
+
+def test_a_series_that_fails_leaves_the_others(monkeypatch):
+    def together(*_):
+        raise np.linalg.LinAlgError("singular")
+
+    def alone(y, *_):
+        if y[0] < 0:
+            raise ValueError("bad series")
+        return (0, 0, 0), y, 0.0
+
+    monkeypatch.setattr(fc, "_best_together", together)
+    monkeypatch.setattr(fc, "best_order", alone)
+    bad, good = fc.best_orders([np.r_[-1.0, np.ones(7)], np.ones(8)])
+    assert str(bad) == "bad series" and good[0] == (0, 0, 0)
+
+
 def test_straight_lines_are_continued():
     y = np.arange(12.0) * 3 + 1
     order, theta, _ = fc.best_order(y)
