@@ -34,9 +34,19 @@ def _one_of(words: Sequence[str]) -> str:
     return "|".join(f"\\Q{word}\\E" for word in words)
 
 
+def _no_space(char: Column) -> Column:
+    """Is the first character one of the ranges without any Unicode white space?"""
+    code = F.ascii(char)
+    return code.between(0x21, 0x84) | code.between(0xA1, 0x167F)
+
+
 def strip_text(c: Column) -> Column:
-    """Trim any Unicode white space; ``trim`` alone only removes U+0020."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Trim any Unicode white space; ``trim`` alone only removes U+0020.
+
+    Most texts have none at their ends, which their first and last character tell.
+    """
+    tidy = _no_space(c) & _no_space(F.substring(c, -1, 1))
+    return F.when(tidy, c).otherwise(F.regexp_replace(c, _EDGE_SPACE, ""))
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:

@@ -132,12 +132,13 @@ def relocation_events(
     """Event log of a relocation sheet: host, species, count, location, origin.
 
     Names are cleaned once each: a host before the fill, in the cells that name it, and a
-    species per spelling, which is then joined to the rows.
+    species per spelling, which is then joined to the rows. Blank cells don't travel: a row
+    needs a species to be an event, and only filled cells change the fill.
     """
     names = {0: "host", 1: "species", 2: "count", 3: "location", 4: "origin"}
     host = F.col("host")
     good = ~is_aggregate(host, extended=True) & ~is_contaminant(host, denylist)
-    rows = grid_rows(cells, names, block_rows=block_rows)
+    rows = grid_rows(cells.filter("v IS NOT NULL"), names, block_rows=block_rows)
     rows = rows.withColumn("_host", F.when(host.isNotNull(), F.struct(strip_text(host).alias("name"), good.alias("good"))))
     filled = carry_forward(rows.drop("host"), "_host", block_rows=block_rows)
     below = join_dim(filled.filter("species IS NOT NULL"), hdr, SHEET).filter("r > hdr_r AND _host.good")

@@ -38,6 +38,11 @@ def sheets_of(cells: DataFrame) -> DataFrame:
     return cells.select("file_id", "period", "sheet", "sheet_ord").distinct()
 
 
+def _of_sheets(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Cells of the sheets so named: a filter that file statistics can answer. No names: all cells."""
+    return cells.filter(F.col("sheet").isin(list(names))) if names else cells
+
+
 def _is_entity(extended: bool, denylist: Sequence[str] = ()) -> Callable[[Column], Column]:
     def keep(name: Column) -> Column:
         good = ~is_aggregate(name, extended)
@@ -70,13 +75,16 @@ class Discovery:
         self.found[part] = sheets.filter(condition)
         return self.found[part]
 
-    def header_cells(self, *rows: tuple[DataFrame, Column]) -> DataFrame:
-        """Filled cells of the given rows of the given sheets, all in one pass."""
+    def header_cells(self, *rows: tuple[DataFrame, Column], names: Sequence[str] = ()) -> DataFrame:
+        """Filled cells of the given rows of the given sheets, all in one pass.
+
+        ``names`` are the only names these sheets can have: others' cells are not read.
+        """
         wanted = None
         for sheets, r in rows:
             part = sheets.select(*SHEET, r.cast("bigint").alias("r"))
             wanted = part if wanted is None else wanted.unionByName(part)
-        return pin(layout.cells_at(self.cells, wanted), "headers")
+        return pin(layout.cells_at(_of_sheets(self.cells, names), wanted), "headers")
 
     def sections(self, table: str, header: DataFrame, sheets: DataFrame, hdr: DataFrame, words: Mapping[str, str]) -> DataFrame:
         """Column ranges of a table's sections; each section is a part."""
@@ -217,15 +225,17 @@ def ingest_middle(cells: DataFrame, missing: str = "error") -> Tables:
     return _route(facts, [*ENTITY_TABLES, "populations", "harvest", "relocation"])
 
 
-def _sectioned(found: Discovery, sheets: DataFrame, section_r: Column, species_r: Column, start: Column) -> DataFrame:
+def _sectioned(
+    found: Discovery, sheets: DataFrame, section_r: Column, species_r: Column, start: Column, names: Sequence[str] = ()
+) -> DataFrame:
     """Column keys of the count and harvest sections; the header rows are fetched in one pass."""
-    header = found.header_cells((sheets, section_r), (sheets, species_r))
+    header = found.header_cells((sheets, section_r), (sheets, species_r), names=names)
     at = lambda r: sheets.select(*SHEET, r.cast("bigint").alias("hdr_r"))
-    names = layout.header_names(header, at(species_r), norm_species_v2)
+    columns_named = layout.header_names(header, at(species_r), norm_species_v2)
     keys = None
     for table, metric, words in (("populations", "count", L.COUNT_SECTIONS), ("harvest", "shot_heads", L.HARVEST_SECTIONS)):
         ranges = found.sections(table, header, sheets, at(section_r), words)
-        columns = layout.in_section(names, ranges).select(*SHEET, "c", "species")
+        columns = layout.in_section(columns_named, ranges).select(*SHEET, "c", "species")
         part = _species(columns, sheets, start, F.lit(table), F.lit(metric))
         keys = part if keys is None else keys.unionByName(part)
     return keys
@@ -236,7 +246,8 @@ def _discover_hybrid(cells: DataFrame, denylist: Sequence[str] = ()):
     main = _main(found, layout.named_as([L.MIDDLE_MAIN_SHEET]), data_row=False)
     start = F.col("user_first") + 1
     keys = _fixed(main, start, {"hosts_meta": L.MIDDLE_ENTITY_COLS, "finances": L.HYBRID_FINANCE_COLS})
-    keys = keys.unionByName(_sectioned(found, main, F.lit(L.HYBRID_SECTION_ROW), F.lit(L.HYBRID_SPECIES_ROW), start))
+    sections = _sectioned(found, main, F.lit(L.HYBRID_SECTION_ROW), F.lit(L.HYBRID_SPECIES_ROW), start, [L.MIDDLE_MAIN_SHEET])
+    keys = keys.unionByName(sections)
     return found, keys, _events(found, denylist)
 
 
@@ -244,7 +255,7 @@ def ingest_hybrid(cells: DataFrame, denylist: Sequence[str] = (), missing: str =
     """Transitional year: everything on the main sheet, sections found by keyword."""
     found, keys, events = _discover_hybrid(cells, denylist)
     found.settle(missing)
-    facts = reshape.melt_keyed(cells, keys, _is_entity(True, denylist))
+    facts = reshape.melt_keyed(_of_sheets(cells, [L.MIDDLE_MAIN_SHEET]), keys, _is_entity(True, denylist))
     return {**_route(facts, [*ENTITY_TABLES, "populations", "harvest"]), "relocation": events()}
 
 

@@ -345,19 +345,36 @@ def _grid(num: DataFrame, sheet: str, emitted: list, blank) -> DataFrame:
     return materialize(grid, "cells")  # reports are a stored table; operators scan it several times
 
 
+def _as_grid(placed: DataFrame, sheet: str) -> DataFrame:
+    return placed.select(
+        F.concat(F.lit("F"), F.col("period").cast("string")).alias("file_id"), "period", F.lit(sheet).alias("sheet"),
+        F.lit(0).alias("sheet_ord"), "r", "c", "v",
+    )
+
+
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    c, b, host_r = F.col("c"), F.col("b"), F.col("k") + 4
-    emitted = [
-        _number(host_r, c),
-        _label(host_r, 0, F.concat(F.lit(" "), "s_name")),
-        _label(2, c, F.concat(F.lit("brand#"), b.cast("string"), F.lit(" *")), c > 16),
-        _label(3, c, F.when(b % 2 == 0, "в неволі").otherwise("Чисельність всього"), c > 16),
+    """Labels are made once per host, header column or year, not once per number."""
+    num = materialize(grid_num(spark, folder), "numbers")
+    c, b, r, q = F.col("c"), F.col("b"), F.col("k") + 4, F.col("q")
+    numbers = num.groupBy("period", "k", "c").agg(F.sum("q").alias("q"))
+    hosts = num.select("period", "k", "s_name").distinct()
+    heads = num.filter(c > 16).select("period", "c", "b").distinct()
+    titles = [
         _label(0, 17, "Чисельність копитних"),
         _label(0, 42, "Кількість добутих (вилучених) копитних"),
         _label(3, 0, "Користувач"),
         _label(9999999999, 0, "Усього по області"),
     ]
-    return _grid(grid_num(spark, folder), "2-тп 1", emitted, lambda q: q % 11 == 0)
+    above = [
+        _label(2, c, F.concat(F.lit("brand#"), b.cast("string"), F.lit(" *"))),
+        _label(3, c, F.when(b % 2 == 0, "в неволі").otherwise("Чисельність всього")),
+    ]
+    labels = num.select("period").distinct().select("period", F.inline(F.array(*titles)))
+    labels = labels.unionByName(heads.select("period", F.inline(F.array(*above))))
+    labels = labels.unionByName(hosts.select("period", F.inline(F.array(_label(r, 0, F.concat(F.lit(" "), "s_name"))))))
+    labels = labels.select("period", "r", "c", "v").filter("r IS NOT NULL").distinct()
+    placed = numbers.select("period", r.cast("bigint").alias("r"), c.cast("int").alias("c"), F.when(q % 11 != 0, q.cast("string")).alias("v"))
+    return materialize(_as_grid(placed.filter("r IS NOT NULL").unionByName(labels), "2-тп 1"), "cells")
 
 
 def cells_early(spark: SparkSession, folder: str) -> DataFrame:

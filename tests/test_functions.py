@@ -12,6 +12,13 @@ def apply(spark, fn, values):
     return [r["o"] for r in df.select("i", fn(F.col("s")).alias("o")).orderBy("i").collect()]
 
 
+def test_strip_any_white_space(spark):
+    spaces = ["\t", "\n", "\x0b", " ", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000"]
+    given = [f"{a}Козуля {b}x{b}" for a in spaces for b in spaces] + ["", " ", None, "a", "\x1cq\x1f", "звір", "😀 ", "\u200bz", "\u1681 a"]
+    want = [f"Козуля {b}x" for _ in spaces for b in spaces] + ["", "", None, "a", "\x1cq\x1f", "звір", "😀", "\u200bz", "\u1681 a"]
+    assert apply(spark, X.strip_text, given) == want
+
+
 def test_species_middle_era(spark):
     given = ["  Кабан  звич.** ", "Інші", "інші", "копитні-всього", "УСЬОГО копитних", "", None, 'a- b"c"', " лис * "]
     want = ["Кабан звич.", None, "інші", None, None, "", None, "a-b'c'", "лис"]

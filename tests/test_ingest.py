@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from gridpanel.operators import layout
+from gridpanel.operators import layout, reshape, scan
 from gridpanel.plans import final, ingest
 from tests.grids import cells, rows_of, sheet
 
@@ -128,6 +128,34 @@ def test_hybrid_era(spark):
     assert ("Бета", "expense_breeding", 2.0) in rows_of(tables["finances"], "host", "metric", "value")
 
 
+def test_hybrid_work_is_narrowed(spark, monkeypatch):
+    """Only the main sheet is melted, hosts are cleaned in their own cells, and blank cells of the log don't travel."""
+    head, species, alpha, beta = sections_rows(shift=16)
+    user = ["Користувач"] + [None] * 24
+    seen = {}
+    melt, rows_of_grid = reshape.melt_keyed, scan.grid_rows
+
+    def melted(cells, *args):
+        seen["sheets"] = {r["sheet"] for r in cells.select("sheet").distinct().collect()}
+        facts = melt(cells, *args)
+        plan = facts._jdf.queryExecution().optimizedPlan().toString()
+        seen["after"] = plan[: plan.index("Window")]
+        return facts
+
+    def gridded(cells, *args, **kwargs):
+        seen["blank"] = cells.filter("v IS NULL").count()
+        return rows_of_grid(cells, *args, **kwargs)
+
+    monkeypatch.setattr(reshape, "melt_keyed", melted)
+    monkeypatch.setattr(scan, "grid_rows", gridded)
+    ingest.ingest_hybrid(
+        cells(spark, sheet("h", 2018, "2-тп 1", 0, [head, [None], species, user, alpha, beta]), events_sheet("h", 2018, "12.Розселення", 1))
+    )
+    assert seen["sheets"] == {"2-тп 1"}
+    assert "усього" not in seen["after"]
+    assert seen["blank"] == 0
+
+
 def late_main(period, name):
     rows = main_sheet(name, 2, 21, [("Альфа", {1: 1.5, 10: 7}), ("Бета", {18: 3}), ("Усього", {1: 9})])
     rows.insert(3, [None] * 21)
