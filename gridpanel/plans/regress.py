@@ -22,6 +22,7 @@ from gridpanel.session import materialize
 
 LEVEL_FEATURES = ("population_t", *SPENDING)
 FOLDS = 5
+TASK_PREDICTIONS = 1_000_000  # predictions that one task makes for attributions
 
 # Boosting parameters tuned for the first family; the second one
 # stands in where the tuned model was a small neural network.
@@ -107,8 +108,8 @@ def attribution_coalition(
     For each row every subset of features is taken from the row and the rest from
     each background row. The Shapley value is a weighted sum of those
     predictions, so all weights are applied while aggregating: one sum per row
-    and feature, combined before the shuffle because the variants of a row are
-    adjacent. Their number, 2^features * background, is fixed.
+    and feature. Their number, 2^features * background, is fixed, so rows are dealt by
+    key while they are narrow, to as many tasks as the predictions ask for, and summed up there.
     """
     cols, key = list(cols), list(key)
     m = len(cols)
@@ -125,7 +126,9 @@ def attribution_coalition(
         )
         for s in subsets
     ])
-    wide = df.select(*key, *[F.col(c).alias(f"_own_{c}") for c in cols], F.explode(points).alias("_b"))
+    tasks = -(-df.count() * len(subsets) * len(reference) // TASK_PREDICTIONS)
+    dealt = df.repartition(tasks, *key) if tasks > 1 else df
+    wide = dealt.select(*key, *[F.col(c).alias(f"_own_{c}") for c in cols], F.explode(points).alias("_b"))
     wide = wide.select("*", F.explode(masks).alias("_m"))
     mixed = wide.select(
         *key,

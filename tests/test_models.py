@@ -216,6 +216,26 @@ def test_contributions_add_up(spark, family):
         assert np.allclose(both["phi_total_expenses"], model.coefficients[0] * (both["total_expenses"] - mean))
 
 
+def test_contributions_are_dealt_by_work(spark, monkeypatch):
+    """Few bytes, much work: tasks follow the number of predictions, sums stay the same."""
+    df = spending(spark).coalesce(1)
+    cols = list(regress.SPENDING)
+    value = F.col(cols[0]) * F.col(cols[1]) + F.col(cols[2])
+    predict = lambda rows: rows.withColumn("prediction", value).withColumn("task", F.spark_partition_id())
+    tasks = set()
+
+    def watched(rows):
+        tasks.update(r["task"] for r in predict(rows).select("task").distinct().collect())
+        return predict(rows).drop("task")
+
+    want = {r["host"]: r for r in regress.attribution_coalition(df, watched, cols, background=5).collect()}
+    assert len(tasks) == 1
+    monkeypatch.setattr(regress, "TASK_PREDICTIONS", 1000)
+    got = {r["host"]: r for r in regress.attribution_coalition(df, watched, cols, background=5).collect()}
+    assert len(tasks) > 2
+    assert got == want
+
+
 # --- clustering --------------------------------------------------------------------
 
 
