@@ -236,6 +236,27 @@ def test_contributions_are_dealt_by_work(spark, monkeypatch):
     assert got == want
 
 
+def test_boosted_rows_are_dealt_by_number(spark, monkeypatch):
+    """Every task of a boosted fit is started at each level of each tree: files don't decide on them."""
+    df = spending(spark).repartition(7)
+    seen = []
+
+    class Watched(regress.GBTRegressor):
+        def fit(self, train):
+            seen.append([len(p) for p in train.rdd.glom().collect()])
+            return super().fit(train)
+
+    monkeypatch.setattr(regress, "GBTRegressor", Watched)
+    monkeypatch.setitem(regress.FAMILIES, "boosted", regress.FAMILIES["boosted"] | {"maxIter": 2})
+    n = df.count()
+    regress.train_model("boosted", df, regress.SPENDING, "delta")
+    assert seen == [[n]]
+    monkeypatch.setattr(regress, "TASK_ROWS", -(-n // 3))
+    predict, _ = regress.train_model("boosted", df.coalesce(1), regress.SPENDING, "delta")
+    assert len(seen[1]) == 3 and sum(seen[1]) == n and max(seen[1]) < n / 2
+    assert predict(df).columns == [*df.columns, "prediction"] and predict(df).count() == n
+
+
 # --- clustering --------------------------------------------------------------------
 
 
